@@ -347,6 +347,35 @@ def tag_lexicon(
     )
 
 
+def tag_words(df: DataFrame, lexicon: DataFrame, col: str = "text", max_words: int = 1) -> DataFrame:
+    """:func:`tag_lexicon` without places: ``id, pos, text, label, score``, ``pos`` by word.
+
+    Looks at one row at a time, so it needs no shuffle and runs on streams as well.
+    """
+    tokens = F.transform(
+        F.regexp_extract_all(text_or_empty(F.col(col)), F.lit("[A-Za-z0-9]+"), 0), F.lower
+    )
+
+    def runs(n: int) -> Column:
+        return F.transform(
+            tokens,
+            lambda _, i: F.when(
+                i + n <= F.size("tokens"),
+                F.struct(i.alias("pos"), F.array_join(F.slice("tokens", i + 1, n), " ").alias("phrase")),
+            ),
+        )
+
+    spoken = df.select("id", tokens.alias("tokens"))
+    tokens = F.col("tokens")
+    every = F.array_compact(F.concat(*[runs(n) for n in range(1, max_words + 1)]))
+    return (
+        spoken.select("id", F.inline(every))
+        .join(lexicon.select("phrase", "label", "score"), "phrase")
+        .select("id", F.col("pos").cast("long").alias("pos"), F.col("phrase").alias("text"), "label",
+                F.col("score").cast("double").alias("score"))
+    )
+
+
 def negation_scopes(
     df: DataFrame,
     col: str = "text",
