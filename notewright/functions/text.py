@@ -7,7 +7,7 @@ import string
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.schema import SECTIONS
@@ -179,18 +179,30 @@ def last_index(c: Column, needle: str) -> Column:
     ).otherwise(-1)
 
 
-def smart_truncate(note: Column, target: Column) -> Column:
-    """Shorten to about ``target`` characters at a heading, paragraph or sentence end."""
-    note = text_or_empty(note)
-    cut = F.substring(note, F.lit(1), target.cast("int"))
-    mark = last_index(cut, "#####")
-    cut = F.when(mark > target * 0.5, rstrip(F.substring(cut, F.lit(1), mark))).otherwise(cut)
+def smart_truncate(df: DataFrame, col: str, target: Column) -> DataFrame:
+    """Shorten ``col`` to about ``target`` characters at a heading, paragraph or sentence end.
+
+    Each step is a projection of its own, so that no step is worked out more than once.
+    """
+    note, cut, mark = F.col("_note"), F.col("_cut"), F.col("_mark")
     room = F.length(cut) * 0.7
-    paragraph = last_index(cut, "\n\n")
-    sentence = F.greatest(last_index(cut, ". "), last_index(cut, ".\n"))
-    shortened = (
-        F.when(paragraph > room, rstrip(F.substring(cut, F.lit(1), paragraph)))
-        .when(sentence > room, rstrip(F.substring(cut, F.lit(1), sentence + 1)))
-        .otherwise(rstrip(cut))
+    return (
+        df.withColumn("_note", text_or_empty(F.col(col)))
+        .withColumn("_target", target.cast("int"))
+        .withColumn("_cut", F.substring(note, F.lit(1), F.col("_target")))
+        .withColumn("_mark", last_index(cut, "#####"))
+        .withColumn(
+            "_cut",
+            F.when(mark > F.col("_target") * 0.5, rstrip(F.substring(cut, F.lit(1), mark))).otherwise(cut),
+        )
+        .withColumn("_paragraph", last_index(cut, "\n\n"))
+        .withColumn("_sentence", F.greatest(last_index(cut, ". "), last_index(cut, ".\n")))
+        .withColumn(
+            col,
+            F.when(F.length(note) <= F.col("_target"), note)
+            .when(F.col("_paragraph") > room, rstrip(F.substring(cut, F.lit(1), F.col("_paragraph"))))
+            .when(F.col("_sentence") > room, rstrip(F.substring(cut, F.lit(1), F.col("_sentence") + 1)))
+            .otherwise(rstrip(cut)),
+        )
+        .select(*df.columns)
     )
-    return F.when(F.length(note) <= target, note).otherwise(shortened)

@@ -352,27 +352,31 @@ def tag_words(df: DataFrame, lexicon: DataFrame, col: str = "text", max_words: i
 
     Looks at one row at a time, so it needs no shuffle and runs on streams as well.
     """
-    tokens = F.transform(
-        F.regexp_extract_all(text_or_empty(F.col(col)), F.lit("[A-Za-z0-9]+"), 0), F.lower
+    spoken = df.select(
+        "id",
+        F.regexp_extract_all(F.lower(text_or_empty(F.col(col))), F.lit("[a-z0-9]+"), 0).alias("tokens"),
     )
 
     def runs(n: int) -> Column:
         return F.transform(
-            tokens,
+            "tokens",
             lambda _, i: F.when(
                 i + n <= F.size("tokens"),
                 F.struct(i.alias("pos"), F.array_join(F.slice("tokens", i + 1, n), " ").alias("phrase")),
             ),
         )
 
-    spoken = df.select("id", tokens.alias("tokens"))
-    tokens = F.col("tokens")
     every = F.array_compact(F.concat(*[runs(n) for n in range(1, max_words + 1)]))
     return (
         spoken.select("id", F.inline(every))
         .join(lexicon.select("phrase", "label", "score"), "phrase")
-        .select("id", F.col("pos").cast("long").alias("pos"), F.col("phrase").alias("text"), "label",
-                F.col("score").cast("double").alias("score"))
+        .select(
+            "id",
+            F.col("pos").cast("long").alias("pos"),
+            F.col("phrase").alias("text"),
+            "label",
+            F.col("score").cast("double").alias("score"),
+        )
     )
 
 
@@ -467,8 +471,8 @@ def concept_term(text: Column, lexicon: Column) -> Column:
 def normalize_concept(entities: DataFrame, lexicon: Column | None = None) -> DataFrame:
     """Add ``term`` and a null ``cui``. Each distinct text is looked up once."""
     lexicon = literal_lexicon() if lexicon is None else lexicon
-    texts = entities.select("text").distinct()
-    terms = texts.withColumn("term", concept_term(F.col("text"), lexicon))
+    texts = entities.select("text").distinct().withColumn("lexicon", lexicon)
+    terms = texts.select("text", concept_term(F.col("text"), F.col("lexicon")).alias("term"))
     return entities.join(terms, "text", "left").withColumn("cui", F.lit(None).cast("string"))
 
 

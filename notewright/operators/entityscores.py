@@ -70,9 +70,21 @@ def usefulness(entities: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
-def noise_ratio(entities: DataFrame, stoplist: Sequence[str] = S.BODY_PARTS) -> DataFrame:
-    """Mean share of entities that are a bare stoplist word of at most two words."""
-    is_noise = (word_count(F.col("text")) <= 2) & F.lower(F.col("text")).isin(*stoplist)
+def noise_ratio(
+    entities: DataFrame, stoplist: Sequence[str] | DataFrame = S.BODY_PARTS
+) -> DataFrame:
+    """Mean share of entities that are a bare stoplist word of at most two words.
+
+    ``stoplist``: words, or a table with a ``phrase`` column of distinct ones.
+    """
+    low = F.lower(F.col("text"))
+    if isinstance(stoplist, DataFrame):
+        listed = stoplist.select(F.col("phrase").alias("stop"))
+        entities = entities.join(listed, low == F.col("stop"), "left")
+        is_listed = F.col("stop").isNotNull()
+    else:
+        is_listed = low.isin(*stoplist)
+    is_noise = (word_count(F.col("text")) <= 2) & is_listed
     return (
         entities.groupBy("id")
         .agg((F.count_if(is_noise) / F.count("*")).alias("ratio"))
@@ -93,17 +105,19 @@ def keyword_coverage(entities: DataFrame, notes: DataFrame, keywords: Column | N
     """
     if keywords is None:
         keywords = F.array(*[F.lit(k) for k in all_keywords()])
-    numbered = F.transform(keywords, lambda k, i: F.struct(i.alias("kw"), k.alias("word")))
+    numbered = F.transform("keywords", lambda k, i: F.struct(i.alias("kw"), k.alias("word")))
 
-    def picked(df: DataFrame, test) -> DataFrame:
-        return df.select("id", F.inline(F.filter(numbered, test))).select("id", "kw")
+    def picked(df: DataFrame, text: Column, test) -> DataFrame:
+        rows = df.select("id", F.lower(text).alias("low")).withColumn("keywords", keywords)
+        return rows.select("id", F.inline(F.filter(numbered, test))).select("id", "kw")
 
-    text = F.lower(F.col("text"))
-    note = F.lower(text_or_empty(F.col("note")))
-    wanted = picked(notes, lambda k: F.contains(note, k["word"]))
+    wanted = picked(
+        notes, text_or_empty(F.col("note")), lambda k: F.contains(F.col("low"), k["word"])
+    )
     captured = picked(
         entities.select("id", "text").distinct(),
-        lambda k: F.contains(text, k["word"]) | F.contains(k["word"], text),
+        F.col("text"),
+        lambda k: F.contains(F.col("low"), k["word"]) | F.contains(k["word"], F.col("low")),
     ).distinct()
     per_note = (
         wanted.join(captured.withColumn("hit", F.lit(1)), ["id", "kw"], "left")

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from notewright import schema as S
 from notewright.functions.text import text_or_empty, words
 from notewright.operators.dialogues import assemble_dialogues
-from notewright.operators.entities import literal_array, tag_lexicon
+from notewright.operators.entities import (
+    entities_json,
+    literal_array,
+    mark_negated,
+    negation_scopes,
+    tag_lexicon,
+)
 
 ROLES = ("user", "assistant", "system")
 
@@ -110,3 +116,71 @@ def ref_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_lexicon(documents(spark, sf_dir), lexicon(spark, sf_dir), "text")
+
+
+def negated_entities(spark: SparkSession, sf_dir: str, cues: tuple[str, ...]) -> DataFrame:
+    scopes = negation_scopes(documents(spark, sf_dir), "text", cues)
+    return mark_negated(document_entities(spark, sf_dir), scopes)
+
+
+def noisy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document entities as a careless extractor writes them: ``id, pos, text, label, score``."""
+    text, turn = F.col("text"), F.col("pos") % 4
+    spelled = (
+        F.when(turn == 1, F.concat(F.lit("The my "), text))
+        .when(turn == 2, F.upper(text))
+        .when(turn == 3, F.concat(F.lit("i’ve been having "), text, F.lit(" ")))
+        .otherwise(text)
+    )
+    label = F.col("label")
+    renamed = (
+        F.when(label == "follow-up instruction", "Follow-Up")
+        .when(label == "test or lab order", " lab ")
+        .when(label == "drug detail", "dosage")
+        .when(label == "physical exam finding", "exam finding")
+        .when(label == "referral", "somewhere else")
+        .otherwise(label)
+    )
+    score = F.when(F.col("pos") % 6 != 5, F.col("score") * 1.25)
+    return document_entities(spark, sf_dir).select(
+        "id", "pos", spelled.alias("text"), renamed.alias("label"), score.alias("score")
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, response``: the noisy entities as JSON in the shapes a language model returns."""
+    cells = entities_json(noisy_entities(spark, sf_dir))
+    body, shape = F.col("entities_json"), F.col("id") % 6
+    wrapped = (
+        F.when(shape == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(shape == 1, F.concat(F.lit("Here they are: "), body, F.lit(" Done.")))
+        .when(shape == 2, F.concat(F.lit('[3, "x", {"text": "y"}, '), F.substring(body, F.lit(2), F.length(body))))
+        .when(shape == 3, F.concat(F.lit('{"entities": '), body, F.lit("}")))
+        .when(shape == 4, F.substring(body, F.lit(1), F.length(body) - 1))
+        .otherwise(body)
+    )
+    return cells.select("id", wrapped.alias("response"))
+
+
+def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, entities_json`` for the labelled documents."""
+    cell = F.format_string('[{"text": "quality %d", "label": "diagnosis"}]', F.col("quality"))
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), cell.alias("entities_json"))
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("id", F.col("text").alias("dialogue"), F.col("text").alias("note"))
+    return docs.join(label_cells(spark, sf_dir), "id")
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("id", F.col("pred").alias("retrieved_note"))
+
+
+def combined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its label cell and retrieved note, null where there is none."""
+    return (
+        documents(spark, sf_dir)
+        .join(label_cells(spark, sf_dir), "id", "left")
+        .join(retrieved(spark, sf_dir), "id", "left")
+    )
