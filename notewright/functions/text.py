@@ -120,45 +120,55 @@ def section_flags(note: Column, names: Sequence[str] = SECTIONS) -> Column:
     return F.struct(*[v.alias(k) for k, v in flags.items()], every.alias("all_headers"))
 
 
-def split_sections(note: Column, names: Sequence[str] = SECTIONS) -> Column:
-    """Struct of section bodies, one field per header in lower case, ``''`` where absent.
+def with_sections(
+    df: DataFrame, col: str, names: Sequence[str] = SECTIONS, out: str = "sections"
+) -> DataFrame:
+    """Add ``out``: a struct of section bodies, one field per header in lower case.
 
-    A note in the strict numbered bold layout is cut by that layout. Otherwise the
-    first hit of each header counts, and a body runs from the end of its header to
-    the start of the next one.
+    A body is ``''`` where absent. A note in the strict numbered bold layout is cut by
+    that layout. Otherwise the first hit of each header counts, and a body runs from the
+    end of its header to the start of the next one. ``{out}_begin`` has the place where
+    each header starts, null where it is missing.
+
+    Each header is looked for once per note: the steps are projections of their own.
     """
-    note = text_or_empty(note)
     pattern = strict_headers(names)
-    is_strict = note.rlike(pattern)
+    note, hits = F.col("_note"), F.col("_hits")
+    headers = [loose_header(i, n) for i, n in enumerate(names, 1)]
 
-    hits = []
-    for i, name in enumerate(names, 1):
-        header = loose_header(i, name)
-        begin = F.length(F.element_at(F.split(note, header, 2), 1))
-        width = F.length(F.regexp_extract(note, header, 0))
-        hits.append(F.when(note.rlike(header), F.struct((begin + width).alias("e"), begin.alias("b"))))
-    found = F.array(*hits)
+    def hit(around: Column) -> Column:
+        begin = F.length(F.get(around, F.lit(0)))
+        end = F.length(note) - F.length(F.get(around, F.lit(1)))
+        return F.when(F.size(around) == 2, F.struct(end.alias("e"), begin.alias("b")))
 
     def body(k: int) -> Column:
         own = hits[k]
-        later = F.array_min(F.filter(found, lambda h: h["e"] > own["e"]))
+        later = F.array_min(F.filter(hits, lambda h: h["e"] > own["e"]))
         end = F.coalesce(later["b"], F.length(note))
         return F.coalesce(
             F.substring(note, own["e"] + 1, F.greatest(end - own["e"], F.lit(0))), F.lit("")
         )
 
-    return F.struct(
-        *[
-            strip(
-                F.when(is_strict, F.regexp_extract(note, pattern, k + 1)).otherwise(body(k))
-            ).alias(name.lower())
-            for k, name in enumerate(names)
-        ]
+    def cut(k: int) -> Column:
+        return strip(F.when(F.col("_strict"), F.regexp_extract(note, pattern, k + 1)).otherwise(body(k)))
+
+    return (
+        df.withColumn("_note", text_or_empty(F.col(col)))
+        .withColumns({f"_around_{k}": F.split(note, h, 2) for k, h in enumerate(headers)})
+        .withColumns(
+            {
+                "_strict": note.rlike(pattern),
+                "_hits": F.array(*[hit(F.col(f"_around_{k}")) for k in range(len(names))]),
+            }
+        )
+        .withColumn(out, F.struct(*[cut(k).alias(n.lower()) for k, n in enumerate(names)]))
+        .withColumn(f"{out}_begin", F.transform(hits, lambda h: h["b"]))
+        .select(*[c for c in df.columns if c != out], out, f"{out}_begin")
     )
 
 
 def compose_note(bodies: Sequence[Column], names: Sequence[str] = SECTIONS) -> Column:
-    """The strict layout; inverse of :func:`split_sections`."""
+    """The strict layout; inverse of :func:`with_sections`."""
     return F.concat_ws(
         "\n\n",
         *[

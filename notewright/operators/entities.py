@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright import schema as S
 from notewright.functions.text import (
     is_blank,
@@ -297,8 +298,7 @@ def word_pieces(df: DataFrame, col: str = "text") -> DataFrame:
     is_word = F.col("piece").rlike("^[A-Za-z0-9]")
     return (
         # Cutting by id first moves each text once; the windows then need no further shuffle.
-        df.select("id", F.col(col))
-        .repartition("id")
+        parallel.by_key(df.select("id", col), "id")
         .select("id", F.posexplode(pieces).alias("pos", "piece"))
         .withColumn("end", F.sum(F.length("piece")).over(so_far))
         .withColumn("start", F.col("end") - F.length("piece"))

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright.functions import align
 from notewright.functions.text import (
     normalize_text,
     section_flags,
-    split_sections,
     text_or_empty,
+    with_sections,
     word_count,
 )
 from notewright.operators import entityscores as ES
@@ -99,7 +100,7 @@ def sweep_report(
         gold.select("id", text_or_empty(F.col("note")).alias("ref")), "id"
     )
     if cut_by_id:
-        pairs = pairs.repartition("id")
+        pairs = parallel.by_key(pairs, "id")
     n_gold = gold.agg(F.count("*").alias("n")).scalar()
     scores = TS.bleu(pairs, [config], keys, cut_by_id=False).select(config, "n_pairs", "bleu")
     parts = [
@@ -225,7 +226,7 @@ def full_report(
     lengths always use the text as it is. ``aligned`` includes ROUGE-L and METEOR.
     """
     if cut_by_id:
-        pairs = pairs.repartition("id")
+        pairs = parallel.by_key(pairs, "id")
     compared = pairs
     if normalize:
         compared = pairs.select(
@@ -275,7 +276,7 @@ def full_report(
 
 def section_table(notes: DataFrame, note: str = "note", names: Sequence[str] = SECTIONS) -> DataFrame:
     """``id, section, body`` rows of each note."""
-    cut = notes.select("id", split_sections(F.col(note), names).alias("s"))
+    cut = with_sections(notes.select("id", note), note, names, "s")
     rows = F.array(
         *[F.struct(F.lit(n).alias("section"), F.col(f"s.`{n.lower()}`").alias("body")) for n in names]
     )

@@ -12,12 +12,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright.functions import align
 from notewright.functions.text import (
     normalize_text,
-    split_sections,
     tokens_13a,
     tokens_alnum,
+    with_sections,
     word_count,
 )
 from notewright.schema import SECTIONS
@@ -45,7 +46,7 @@ def ngram_counts(
     Pass ``cut_by_id=False`` for a pair table that is already partitioned by ``id``.
     """
     if cut_by_id:
-        pairs = pairs.repartition("id")
+        pairs = parallel.by_key(pairs, "id")
     cut = pairs.select(*keys, tokenizer(F.col("pred")).alias("p"), tokenizer(F.col("ref")).alias("r"))
 
     def entries(side: str, n: int) -> Column:
@@ -196,11 +197,8 @@ def meteor_exact(
 def section_rouge_scores(pairs: DataFrame, names: Sequence[str] = SECTIONS,
                          keys: Sequence[str] = ("id",)) -> DataFrame:
     """``keys…, section, rougeL`` per pair and section on normalised text."""
-    cut = pairs.select(
-        *keys,
-        split_sections(F.col("pred"), names).alias("p"),
-        split_sections(F.col("ref"), names).alias("r"),
-    )
+    cut = with_sections(pairs.select(*keys, "pred", "ref"), "pred", names, "p")
+    cut = with_sections(cut, "ref", names, "r")
     rows = F.array(
         *[
             F.struct(

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from notewright import schema as S
 from notewright.functions.text import (
     compose_note,
-    loose_header,
     normalize_text,
-    split_sections,
-    text_or_empty,
+    with_sections,
 )
 from notewright.operators.entities import literal_map
 from notewright.operators.entityscores import grounding
@@ -47,23 +45,12 @@ def completeness_scores(dialogue_entities: DataFrame, notes: DataFrame) -> DataF
     return _share(_texts(dialogue_entities).join(lowered, "id"), found, "completeness")
 
 
-def consistency_score(note: Column, names: Sequence[str] = S.SECTIONS) -> Column:
+def consistency_score(sections: Column, begins: Column, names: Sequence[str] = S.SECTIONS) -> Column:
     """Share of sections that have a header, a body, and stand after all earlier headers."""
-    note = text_or_empty(note)
-    bodies = split_sections(note, names)
-    begins = []
-    for i, name in enumerate(names, 1):
-        header = loose_header(i, name)
-        begins.append(
-            F.when(note.rlike(header), F.length(F.element_at(F.split(note, header, 2), 1)))
-        )
     total = F.lit(0)
     for k, name in enumerate(names):
-        in_order = F.lit(True)
-        if k:
-            earlier = F.coalesce(F.array_max(F.array(*begins[:k])), F.lit(-1))
-            in_order = begins[k] >= earlier
-        good = begins[k].isNotNull() & (bodies[name.lower()] != "") & in_order
+        earlier = F.coalesce(F.array_max(F.slice(begins, 1, k)), F.lit(-1)) if k else F.lit(-1)
+        good = (begins[k] >= earlier) & (sections[name.lower()] != "")
         total = total + F.when(good, 1).otherwise(0)
     return total / len(names)
 
@@ -77,7 +64,7 @@ def appropriateness_scores(
 ) -> DataFrame:
     """Share of a note's entities whose text stands in the section their label belongs to."""
     names = list(sections)
-    cut = notes.select("id", split_sections(F.col("note"), names).alias("s")).select(
+    cut = with_sections(notes.select("id", "note"), "note", names, "s").select(
         "id", *[normalize_text(F.col(f"s.`{n.lower()}`")).alias(n.lower()) for n in names]
     )
     home = F.try_element_at(_home(sections), F.lower("label"))
@@ -98,7 +85,10 @@ def verify_notes(
         "id", (1.0 - F.col("n_ungrounded") / F.col("n_entities")).alias("faithfulness")
     )
     names = list(sections)
-    scored = notes.select("id", consistency_score(F.col("note"), names).alias("consistency"))
+    scored = with_sections(notes.select("id", "note"), "note", names).select(
+        "id",
+        consistency_score(F.col("sections"), F.col("sections_begin"), names).alias("consistency"),
+    )
     for part in (
         ungrounded,
         negation_scores(dialogue_entities, note_entities),
@@ -148,7 +138,7 @@ def apply_correction(
             ],
         )
     )
-    bodies = split_sections(F.col("note"), names)
+    bodies = F.col("sections")
 
     def completed(i: int, name: str) -> Column:
         body, add = bodies[name.lower()], F.coalesce(F.col(f"add_{i}"), F.lit(""))
@@ -156,7 +146,8 @@ def apply_correction(
 
     corrected = compose_note([completed(i, n) for i, n in enumerate(names)], names)
     return (
-        notes.join(verified.select("id", "passed"), "id")
+        with_sections(notes.select("id", "note"), "note", names)
+        .join(verified.select("id", "passed"), "id")
         .join(missing, "id", "left")
         .select(
             "id",

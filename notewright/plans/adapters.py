@@ -11,8 +11,6 @@ from notewright.operators.dialogues import assemble_dialogues
 from notewright.operators.entities import (
     entities_json,
     literal_array,
-    mark_negated,
-    negation_scopes,
     tag_lexicon,
 )
 
@@ -118,11 +116,6 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_lexicon(documents(spark, sf_dir), lexicon(spark, sf_dir), "text")
 
 
-def negated_entities(spark: SparkSession, sf_dir: str, cues: tuple[str, ...]) -> DataFrame:
-    scopes = negation_scopes(documents(spark, sf_dir), "text", cues)
-    return mark_negated(document_entities(spark, sf_dir), scopes)
-
-
 def noisy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document entities as a careless extractor writes them: ``id, pos, text, label, score``."""
     text, turn = F.col("text"), F.col("pos") % 4

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright import schema as S
 from notewright.functions import text as T
 from notewright.operators import dialogues as D
@@ -23,6 +24,7 @@ from notewright.operators import retrieval as RT
 from notewright.operators import textscores as TS
 from notewright.operators import verify as V
 from notewright.plans import adapters as A
+from notewright.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -44,6 +46,16 @@ EXAMPLES = (1, 2)
 BUDGET = 300
 
 
+def _docs(spark, d):
+    """Documents, for work that costs much more than the scan."""
+    return parallel.spread_small(A.documents(spark, d), "id")
+
+
+def _stored_entities(spark, d):
+    """Document entities, written once for operators that read their input repeatedly."""
+    return cut_lineage(A.document_entities(spark, d))
+
+
 def query(fn: Query) -> Query:
     REGISTRY[fn.__name__] = fn
     return fn
@@ -98,7 +110,7 @@ def resume_antijoin(spark, d):
 @query
 def tokenize(spark, d):
     tokens = F.explode(T.tokens_ws(F.col("text"))).alias("token")
-    return A.documents(spark, d).select("id", tokens).groupBy("token").agg(F.count("*").alias("n"))
+    return _docs(spark, d).select("id", tokens).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query
@@ -108,7 +120,7 @@ def truncate_chars(spark, d):
 
 @query
 def normalize_text(spark, d):
-    return A.documents(spark, d).select(
+    return _docs(spark, d).select(
         "id",
         T.normalize_text(F.col("text")).alias("plain"),
         T.normalize_entity_text(F.col("text")).alias("bare"),
@@ -117,7 +129,7 @@ def normalize_text(spark, d):
 
 @query
 def split_sections(spark, d):
-    return R.section_table(A.documents(spark, d), "text", NAMES)
+    return R.section_table(_docs(spark, d), "text", NAMES)
 
 
 @query
@@ -133,7 +145,7 @@ def split_sections_strict(spark, d):
 
 @query
 def section_flags(spark, d):
-    return A.documents(spark, d).select("id", T.section_flags(F.col("text"), NAMES).alias("f")).select("id", "f.*")
+    return _docs(spark, d).select("id", T.section_flags(F.col("text"), NAMES).alias("f")).select("id", "f.*")
 
 
 @query
@@ -152,7 +164,7 @@ def tag_lexicon(spark, d):
 
 @query
 def tag_words(spark, d):
-    return E.tag_words(A.documents(spark, d), A.lexicon(spark, d), "text")
+    return E.tag_words(_docs(spark, d), A.lexicon(spark, d), "text")
 
 
 @query
@@ -172,12 +184,12 @@ def clean_spans(spark, d):
 
 @query
 def dedup_entities(spark, d):
-    return E.dedup_entities(E.clean_spans(canonical_label(spark, d)))
+    return E.dedup_entities(cut_lineage(E.clean_spans(canonical_label(spark, d))))
 
 
 @query
 def adaptive_threshold(spark, d):
-    return E.adaptive_threshold(canonical_label(spark, d), high=0.9, low=0.5)
+    return E.adaptive_threshold(cut_lineage(canonical_label(spark, d)), high=0.9, low=0.5)
 
 
 @query
@@ -189,18 +201,19 @@ def relabel_broad(spark, d):
 
 @query
 def promote_chief(spark, d):
-    return E.promote_chief(A.document_entities(spark, d)).select("id", "pos", "text", "label")
+    return E.promote_chief(_stored_entities(spark, d)).select("id", "pos", "text", "label")
 
 
 @query
 def promote_chief_if_absent(spark, d):
-    ents = A.document_entities(spark, d)
+    ents = _stored_entities(spark, d)
     return E.promote_chief(ents, only_if_absent=True).select("id", "pos", "text", "label")
 
 
 @query
 def mark_negated(spark, d):
-    return A.negated_entities(spark, d, CUES)
+    scopes = E.negation_scopes(A.documents(spark, d), "text", CUES)
+    return E.mark_negated(_stored_entities(spark, d), scopes)
 
 
 @query
@@ -208,7 +221,7 @@ def normalize_concept(spark, d):
     short = A.lexicon(spark, d).select(
         "ord", F.substring("phrase", 1, 4).alias("phrase"), F.upper("phrase").alias("term")
     )
-    ents = A.document_entities(spark, d)
+    ents = _stored_entities(spark, d)
     return E.normalize_concept(ents, E.lexicon_array(short)).select("id", "pos", "text", "term", "cui")
 
 
@@ -333,7 +346,7 @@ def resolve_inputs(spark, d):
 
 @query
 def bm25_idf(spark, d):
-    return RT.bm25_idf(A.documents(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return RT.bm25_idf(_docs(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -392,12 +405,12 @@ def raft_report(spark, d):
 
 @query
 def bleu(spark, d):
-    return TS.bleu(A.pairs(spark, d), cut_by_id=False)
+    return TS.bleu(A.pairs(spark, d))
 
 
 @query
 def rouge_n(spark, d):
-    return TS.rouge_n(A.pairs(spark, d), cut_by_id=False)
+    return TS.rouge_n(A.pairs(spark, d))
 
 
 @query
@@ -499,7 +512,7 @@ def combined_stats(spark, d):
 
 @query
 def structure_report(spark, d):
-    return R.structure_report(A.documents(spark, d), "text", NAMES)
+    return R.structure_report(_docs(spark, d), "text", NAMES)
 
 
 @query
@@ -553,7 +566,6 @@ def _full(spark, d, aligned):
         NAMES,
         SYMPTOMS,
         aligned=aligned,
-        cut_by_id=False,
     )
 
 
@@ -571,25 +583,32 @@ def full_report_relational(spark, d):
 
 
 def _verify_inputs(spark, d):
-    notes = A.pairs(spark, d).select("id", F.col("pred").alias("note"))
-    said = E.mark_negated(
-        A.ref_entities(spark, d), E.negation_scopes(A.pairs(spark, d), "ref", CUES)
-    )
-    return notes, said, A.pred_entities(spark, d)
+    pairs = A.pairs(spark, d)
+    notes = pairs.select("id", F.col("pred").alias("note"))
+    scopes = E.negation_scopes(pairs, "ref", CUES)
+    said = E.mark_negated(cut_lineage(A.ref_entities(spark, d)), scopes)
+    return notes, cut_lineage(said), cut_lineage(A.pred_entities(spark, d))
+
+
+def _verified(inputs):
+    return V.verify_notes(*inputs, sections=SECTION_LABELS)
 
 
 @query
 def verify_notes(spark, d):
-    return V.verify_notes(*_verify_inputs(spark, d), sections=SECTION_LABELS)
+    return _verified(_verify_inputs(spark, d))
 
 
 @query
 def apply_correction(spark, d):
-    notes, said, _ = _verify_inputs(spark, d)
-    return V.apply_correction(notes, verify_notes(spark, d), said, SECTION_LABELS)
+    inputs = _verify_inputs(spark, d)
+    return V.apply_correction(inputs[0], cut_lineage(_verified(inputs)), inputs[1], SECTION_LABELS)
 
 
 @query
 def verification_report(spark, d):
-    verified = verify_notes(spark, d)
-    return V.verification_report(verified, apply_correction(spark, d))
+    inputs = _verify_inputs(spark, d)
+    verified = cut_lineage(_verified(inputs))
+    return V.verification_report(
+        verified, V.apply_correction(inputs[0], verified, inputs[1], SECTION_LABELS)
+    )
