@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ALNUM = re.compile(r"[a-z0-9]+")
 _WORD_OR_MARK = re.compile(r"\w+|[^\w\s]")
@@ -78,9 +79,12 @@ def rouge_lsum_pair(pred: str, ref: str) -> float:
     hits = 0
     for line in ref_lines:
         own = np.array([code[t] for t in line], dtype=np.int64)
-        covered = set()
+        covered: set[int] = set()
         for cand in coded:
-            covered.update(_lcs_positions(own, cand))
+            # Reference words that the line lacks are stepped over anyway.
+            spots = np.flatnonzero(np.isin(own, cand))
+            if len(spots):
+                covered.update(spots[_lcs_positions(own[spots], cand)].tolist())
         for at in sorted(covered):
             tok = line[at]
             if left_pred[tok] > 0 and left_ref[tok] > 0:
@@ -223,7 +227,8 @@ def meteor_pair(
 
 
 def _scorer(score):
-    @F.pandas_udf("double")
+    # A type object, not its name: this runs at import, maybe before there is a session.
+    @F.pandas_udf(T.DoubleType())
     def run(pred: pd.Series, ref: pd.Series) -> pd.Series:
         return pd.Series([score(p, r) for p, r in zip(pred, ref)], dtype="float64")
 

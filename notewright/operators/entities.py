@@ -291,20 +291,32 @@ def dedup_entities(entities: DataFrame, pair_limit: int = 64) -> DataFrame:
 
 
 def word_pieces(df: DataFrame, col: str = "text") -> DataFrame:
-    """Words with their place: ``id, wpos, word, start, end``; ``word`` is lower-cased."""
-    pieces = F.regexp_extract_all(text_or_empty(F.col(col)), F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9]+"), 0)
-    order = Window.partitionBy("id").orderBy("pos")
+    """Words with their place: ``id, wpos, word, start, end``; ``word`` is lower-cased.
+
+    A piece is a word with what follows it up to the next word, so the pieces cover the
+    text and their running length gives every place.
+    """
+    text = text_or_empty(F.col(col))
+    # What stands before the first word, maybe nothing, is piece 0.
+    pieces = F.concat(
+        F.array(F.regexp_extract(text, "^[^A-Za-z0-9]*", 0)),
+        F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), 0),
+    )
+    order = Window.partitionBy("id").orderBy("wpos")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_word = F.col("piece").rlike("^[A-Za-z0-9]")
     return (
-        # Cutting by id first moves each text once; the windows then need no further shuffle.
+        # Cutting by id first moves each text once; the window then needs no further shuffle.
         parallel.by_key(df.select("id", col), "id")
         .select("id", F.posexplode(pieces).alias("pos", "piece"))
-        .withColumn("end", F.sum(F.length("piece")).over(so_far))
-        .withColumn("start", F.col("end") - F.length("piece"))
-        .withColumn("wpos", F.sum(is_word.cast("long")).over(so_far) - 1)
-        .filter(is_word)
-        .select("id", "wpos", F.lower("piece").alias("word"), "start", "end")
+        .select(
+            "id",
+            (F.col("pos") - 1).cast("long").alias("wpos"),
+            F.regexp_extract(F.lower("piece"), "^[a-z0-9]+", 0).alias("word"),
+            F.length("piece").alias("width"),
+        )
+        .withColumn("start", F.sum("width").over(so_far) - F.col("width"))
+        .filter(F.col("wpos") >= 0)
+        .select("id", "wpos", "word", "start", (F.col("start") + F.length("word")).alias("end"))
     )
 
 
