@@ -72,6 +72,7 @@ def main() -> None:
     REGISTRY["length_stats"](spark, sf_dir).collect()
     REGISTRY["meteor_exact"](spark, sf_dir).collect()
 
+    scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
         begin = time.perf_counter()
@@ -85,7 +86,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+                "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
             }
         )
     )

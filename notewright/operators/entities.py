@@ -244,39 +244,35 @@ def dedup_entities(entities: DataFrame, pair_limit: int = 64) -> DataFrame:
     Adds ``dup_rank``: the order of the survivors, longest first, then by first sighting.
     """
     unique = dedup_exact(entities).withColumn("low", F.lower("text"))
-    sizes = unique.groupBy("id", "label").agg(F.count("*").alias("group_size"))
+    sizes = unique.groupBy("id", "label").agg(
+        F.count("*").alias("group_size"), F.collect_set(F.length("low")).alias("lengths")
+    )
     spans = unique.join(sizes, ["id", "label"])
 
-    longer = spans.filter(F.col("group_size") <= pair_limit).select(
-        "id", "label", F.col("low").alias("outer_text")
-    )
-    small = spans.filter(F.col("group_size") <= pair_limit).join(
-        longer.withColumn("n", F.length("outer_text")),
-        (spans["id"] == longer["id"])
-        & (spans["label"] == longer["label"])
-        & (F.col("n") > F.length(spans["low"]))
-        & F.contains(F.col("outer_text"), spans["low"]),
+    few = spans.filter(F.col("group_size") <= pair_limit)
+    outer = few.select("id", "label", F.col("low").alias("outer_text"))
+    small = few.join(
+        outer,
+        (few["id"] == outer["id"])
+        & (few["label"] == outer["label"])
+        & (F.length("outer_text") > F.length(few["low"]))
+        & F.contains(F.col("outer_text"), few["low"]),
         "left_anti",
     )
 
-    big = spans.filter(F.col("group_size") > pair_limit)
-    begin = F.sequence(F.lit(1), F.length("low"))
+    many = spans.filter(F.col("group_size") > pair_limit)
+    # Substrings only of the lengths that some span of the group has.
     inner_texts = F.flatten(
         F.transform(
-            begin,
-            lambda b: F.transform(
-                F.sequence(F.lit(1), F.length("low") - b + 1),
-                lambda n: F.substring(F.col("low"), b, n),
+            F.filter("lengths", lambda n: n < F.length("low")),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length("low") - n + 1),
+                lambda b: F.substring(F.col("low"), b, n),
             ),
         )
     )
-    parts = (
-        big.select("id", "label", F.length("low").alias("n"), F.explode(inner_texts).alias("low"))
-        .filter((F.length("low") < F.col("n")) & (F.length("low") > 1))
-        .select("id", "label", "low")
-        .distinct()
-    )
-    large = big.join(parts, ["id", "label", "low"], "left_anti")
+    parts = many.select("id", "label", F.explode(inner_texts).alias("low")).distinct()
+    large = many.join(parts, ["id", "label", "low"], "left_anti")
 
     columns = ["id", "pos", "text", "label", "score"]
     order = Window.partitionBy("id").orderBy(F.length("text").desc(), "pos")

@@ -30,6 +30,8 @@ def in_order(rows):
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     cols = sorted(df.columns)
     got = [tuple(r[c] for c in cols) for r in df.collect()]
     assert got, "no rows"
