@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 
 # Up to this many rows a table may arrive in too few splits to keep all cores busy.
 SMALL_ROWS = 1_000_000
+SMALL_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's own size estimate, from file sizes; None where a session hides it."""
+    if not hasattr(df, "_jdf"):
+        return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -13,9 +21,13 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
     For rows that are about to be multiplied (words, n-grams): more and smaller
     partitions keep the multiplied rows in memory, and naming a number keeps adaptive
-    execution from merging them by their size before that.
+    execution from merging them by their size before that. A table that is estimated
+    to be small gets two partitions per core, should the session ask for more.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(df)
+    if size is not None and size <= SMALL_BYTES:
+        n = min(n, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(2 * n, *keys)
 
 
