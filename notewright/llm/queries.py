@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import exactdedup, importance, packing, pii, sharding, simhash, tokenbin
+from notewright.llm import capfilters, exactdedup, importance, packing, pii, sharding, simhash, tokenbin
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,14 +56,33 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY, window=1024)
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exactdedup.exact_groups(_table(spark, sf_dir, "documents"), hash_all=True)
     return groups.withColumnRenamed("full_hash", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_importance, op2_personal_data, op3_sharding, op4_token_files, op6_simhash, op7_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_importance, op2_personal_data, op3_sharding, op4_token_files, op6_simhash, op7_packing, op8_cap_filters, op9_exact_dedup)}
 
 ORACLES = {
+    "op8_cap_filters": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+                AND list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN part ON part.a = vec_id
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
