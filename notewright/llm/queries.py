@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import capfilters, exactdedup, importance, packing, pii, sharding, simhash, tokenbin
+from notewright.llm import capfilters, exactdedup, importance, licenses, packing, pieces, pii, sharding, simhash, tokenbin
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -47,6 +48,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.document_index(tokenbin.read_token_files(spark, path), tokenbin.token_width(VOCABULARY))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.fit(licenses.labelled_table(spark)))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -65,7 +70,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("full_hash", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_importance, op2_personal_data, op3_sharding, op4_token_files, op6_simhash, op7_packing, op8_cap_filters, op9_exact_dedup)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; ``round_trip`` holds the decoded text against the one read."""
+    docs = _table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    encoded = pieces.encode_pieces(docs, PIECES, keep=("text_sha256",))
+    decoded = pieces.decode_pieces(encoded, PIECES, keep=("text_sha256",))
+    return decoded.select("doc_id", "n_ids", "ids_crc32", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_importance, op2_personal_data, op3_sharding, op4_token_files, op5_licenses,
+        op6_simhash, op7_packing, op8_cap_filters, op9_exact_dedup, op10_sentencepiece,
+    )
+}
 
 ORACLES = {
     "op8_cap_filters": """
