@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -57,7 +60,7 @@ def split_batch(texts: list[str], classes: np.ndarray) -> Batch:
     return Batch(raw, edges, start, stop, np.searchsorted(edges, start, side="right"))
 
 
-def small_batches(texts: list[str], limit: int = 4 << 20):
+def small_batches(texts: list[str], limit: int = 1 << 20):
     """Slices of ``texts`` with about ``limit`` characters; one text alone may have more."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -67,3 +70,15 @@ def small_batches(texts: list[str], limit: int = 4 << 20):
         size += len(t)
     if at < len(texts):
         yield slice(at, len(texts))
+
+
+def small_slices(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, so that what is made of a slice stays small; one text alone may have more."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop

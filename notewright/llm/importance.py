@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.bytewords import LOWER, mix, run_hashes, small_batches, split_batch
+from notewright.llm.bytewords import LOWER, mix, run_hashes, small_slices, split_batch
 from notewright.llm.common import kth_largest, text_of, without_ids
 from notewright.session import stage
 
@@ -66,12 +66,11 @@ def count_models(docs: DataFrame, bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << bits), dtype=np.int64)
-        for batch in batches:
-            texts, target = batch.column("text").to_pylist(), batch.column("target").to_numpy(zero_copy_only=False)
-            for part in small_batches(texts):
-                doc, bucket = ngrams(texts[part], bits)
-                total[0] += np.bincount(bucket, minlength=1 << bits)
-                total[1] += np.bincount(bucket[target[part][doc]], minlength=1 << bits)
+        for batch in small_slices(batches, "text"):
+            doc, bucket = ngrams(batch.column("text").to_pylist(), bits)
+            target = batch.column("target").to_numpy(zero_copy_only=False)
+            total[0] += np.bincount(bucket, minlength=1 << bits)
+            total[1] += np.bincount(bucket[target[doc]], minlength=1 << bits)
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "raw", "target"])
 
@@ -121,14 +120,9 @@ def resample(
     ratio = log_ratio(counts) if counts[1].any() else np.zeros(1 << bits)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            weight, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-            for part in small_batches(texts):
-                doc, bucket = ngrams(texts[part], bits)
-                size = part.stop - part.start
-                weight[part] = np.bincount(doc, ratio[bucket], minlength=size)
-                n[part] = np.bincount(doc, minlength=size)
+        for batch in small_slices(batches, "text"):
+            doc, bucket = ngrams(batch.column("text").to_pylist(), bits)
+            weight, n = np.bincount(doc, ratio[bucket], minlength=batch.num_rows), np.bincount(doc, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(weight)], names=["doc_id", "n_grams", "log_weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()

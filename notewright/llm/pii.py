@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm.bytewords import mix, run_hashes, small_batches, split_batch
+from notewright.llm.bytewords import mix, run_hashes, small_batches, small_slices, split_batch
 
 KINDS = ("email", "ip", "card", "phone")
 LABELLED_BOUND = 2_000
@@ -375,7 +375,7 @@ def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_slices(batches, "text"):
             found = all_spans([t or "" for t in batch.column("text").to_pylist()], shared.value)
             columns = [pa.array([[dict(zip(("start", "stop", "kind"), s)) for s in in_order(side[i])] for side in found], arrow_span) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "base", "added"])
@@ -387,13 +387,16 @@ def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with every span in ``text_col`` replaced by its kind in angle brackets; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        found = all_spans([t or "" for t in texts], shared.value)
-        return texts.where(texts.isna(), [cut_out(t or "", in_order(base + added)) for t, (base, added) in zip(texts, found)])
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches, text_col):
+            texts = batch.column(at).to_pylist()
+            found = all_spans([t or "" for t in texts], shared.value)
+            cleaned = [None if t is None else cut_out(t, in_order(base + added)) for t, (base, added) in zip(texts, found)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(cleaned, batch.schema.field(at).type))
 
-    return docs.withColumn(text_col, clean(text_col))
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def cut_out(text: str, spans: list[Span]) -> str:
