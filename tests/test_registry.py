@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from notewright.plans import oracles
+from notewright.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings benchmark labels conversations".split()
-ORACLES = entry.oracle_sql()
+ORACLES = oracles.build()
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -27,9 +29,9 @@ def in_order(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = REGISTRY[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     cols = sorted(df.columns)
@@ -45,10 +47,14 @@ def test_query(spark, duck, name):
 
 
 def test_only_alignment_scores_lack_sql():
-    assert set(entry.queries()) - set(ORACLES) == {
+    assert set(REGISTRY) - set(ORACLES) == {
         "rouge_l", "meteor_exact", "section_rouge", "sweep_report_aligned", "full_report",
     }
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(ORACLES) <= set(REGISTRY)
+
+
+def test_entry_has_all_of_them():
+    assert set(REGISTRY) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
