@@ -11,7 +11,8 @@ on one total out of each of ``fences`` equal ranges. Moving a cut to the next su
 total changes a shard by less than the width of a range, so the true capacity lies within one
 width below the one found, and each true cut lies in a stretch known by greedy bounds. Only these
 stretches are looked at more closely in the next round, until every total in them
-is known. The driver holds at most ``fences`` totals; the widths shrink about seventyfold a round.
+is known. The driver holds at most ``fences`` totals. Where very large groups keep the stretches from shrinking, what is left
+of the binary search is run on the whole table: one aggregation per shard looks up the cuts of many capacities at once.
 
 Null texts are empty texts. A row with a null doc_id sorts before all others. Repeated rows
 count one by one. An empty table gives an empty result. Shards may stay empty where there are
@@ -56,13 +57,19 @@ def smallest_capacity(ends: list[int], shards: int, lo: int, hi: int) -> int:
 
 def minimax_cuts(ends: DataFrame, shards: int, fences: int = FENCES) -> list[int]:
     """Table with a column ``end`` of running totals -> the totals at which the shards end."""
+    if fences < 8 * shards * shards:
+        raise ValueError("too few fences for the stretches to shrink")
     total = ends.agg(F.max("end")).first()[0]
     if total is None:
         return [0] * shards
     low, high = -(-total // shards), total
     stretches = [(0, total)]  # half open on the left; all totals that may matter lie in them
+    before = 2 * total + 2
     while True:
         width = max(1, -(-sum(b - a for a, b in stretches) // fences))
+        if 2 * width > before:
+            return _searched(ends, shards, low, high, total)
+        before = width
         inside, base, bucket = F.lit(False), 0, F.lit(None).cast("long")
         for a, b in stretches:
             here = (F.col("end") > a) & (F.col("end") <= b)
@@ -81,6 +88,25 @@ def minimax_cuts(ends: DataFrame, shards: int, fences: int = FENCES) -> list[int
         stretches = _merged([(max(0, a - 1), min(total, b + (k + 2) * width)) for k, (a, b) in enumerate(zip(first, last))])
 
 
+def _searched(ends: DataFrame, shards: int, low: int, high: int, total: int, ways: int = 32) -> list[int]:
+    """Cuts at the smallest feasible capacity in [low, high], every check made on all totals."""
+
+    def cuts_of(capacities: list[int]) -> list[list[int]]:
+        cuts = [[0] for _ in capacities]
+        for _ in range(shards):
+            fits = (F.max(F.when(F.col("end") <= c[-1] + size, F.col("end"))) for c, size in zip(cuts, capacities))
+            for c, found in zip(cuts, ends.agg(*(f.alias(f"c{i}") for i, f in enumerate(fits))).first()):
+                c.append(max(c[-1], found or 0))
+        return [c[1:] for c in cuts]
+
+    while low < high:
+        tried = sorted({low + (high - low) * i // ways for i in range(ways)})
+        fits = [c for c, cuts in zip(tried, cuts_of(tried)) if cuts[-1] >= total]
+        high = min(fits, default=high)
+        low = max([low, *(c + 1 for c in tried if c < high)])
+    return cuts_of([high])[0]
+
+
 def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(stretches):
