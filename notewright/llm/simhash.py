@@ -95,7 +95,7 @@ def fingerprint_links(fps: DataFrame, radius: int, words: int = 1, min_ratio: fl
     tiled = fps.select(F.struct("node", "fp", "size").alias("item"), key.alias("tile"))
     counts = tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).alias("n_blocks"))
     blocks = stage(
-        tiled.join(counts, "tile")
+        tiled.join(F.broadcast(counts), "tile")  # at most 17 ** 4 tiles of part counts, or FIELD ** 2 of counts and size classes
         .withColumn("block", F.pmod(F.xxhash64("item.fp"), "n_blocks"))
         .groupBy("tile", "block")
         .agg(F.collect_list("item").alias("items")),
