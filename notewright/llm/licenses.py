@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm.common import text_of
 
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 UNKNOWN, NONE = "unknown", "none"
 CONFIRMED = 0.5
 CUES = (
