@@ -29,11 +29,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.encoder import _no_collection
+from notewright.llm.encoder import Memory, no_collection
 
 SPACE = "▁"
-REMEMBERED = 600_000
-LONG = 64  # longer stretches are not remembered
+REMEMBERED = 300_000  # stretches in each half of a worker's memory
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 NO_PIECE = -1  # the start of a stretch, or a character without a piece
@@ -72,7 +71,9 @@ class PieceModel:
         marks = re.escape("".join(sorted(self.openers - {SPACE})))
         alone = all(a == SPACE for p in normal for a, b in zip(p, p[1:]) if b == SPACE)
         if alone and marks:  # spaces also open a piece after marks
-            self.stretches = re.compile(f"{SPACE}*[{marks}]*[^{marks}{SPACE}]+|{SPACE}*[{marks}]+|{SPACE}+")
+            common = "".join(c for c in ",.;:!?\n" if c in self.openers)
+            plain = f"{SPACE}?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[{SPACE}{re.escape(common)}])|"  # the usual case, which the rest would find as well
+            self.stretches = re.compile(f"{plain}{SPACE}*[{marks}]*[^{marks}{SPACE}]+|{SPACE}*[{marks}]+|{SPACE}+")
         else:
             self.stretches = re.compile(r"(?s:.+)")
 
@@ -172,37 +173,61 @@ class StreamingViterbi:
 
     def whole(self, chars: str) -> list[int]:
         """``feed`` and ``finish`` in one for a text within the window: each node's edges are followed forward at once."""
-        model, n = self.model, len(chars)
-        tree, scores, unigram, follow = model.tree, model.scores, model.kind == UNIGRAM, self.fits
-        score, last, back = [0.0] * (n + 1), [None] * (n + 1), [0] * (n + 1)
+        last, back = (self._best_sums if self.model.kind == UNIGRAM else self._fitting)(chars)
+        found, n = [], len(chars)
+        while n:
+            piece = last[n]
+            found.append(piece if piece != NO_PIECE else chars[back[n] : n])
+            n = back[n]
+        found.reverse()
+        if any(isinstance(x, str) for x in found):
+            return [i for x in found for i in (self.model.spelled(x) if isinstance(x, str) else [x])]
+        return found
+
+    def _fitting(self, chars: str) -> tuple[list, list[int]]:
+        tree, follow, n = self.model.tree, self.fits, len(chars)
+        last, back = [None] * (n + 1), [0] * (n + 1)
         last[0] = NO_PIECE
         for start in range(n):
             before = last[start]
             if before is None:
                 continue
-            may, node, end, here = follow.get(before, {}), tree, start, score[start]
+            may = follow.get(before) or follow.setdefault(before, {})
+            node, end = tree, start
             for ch in chars[start:]:
                 found = node.get(ch)
                 if found is None:
                     break
                 end += 1
                 node, piece = found
-                if piece is None:
-                    continue
-                if unigram:
-                    if last[end] is None or here + scores[piece] > score[end]:
-                        score[end], last[end], back[end] = here + scores[piece], piece, start
-                elif last[end] is None:
+                if piece is not None and last[end] is None:
                     fit = may.get(piece)
                     if self._fits(before, piece) if fit is None else fit:
                         last[end], back[end] = piece, start
+            if last[start + 1] is None and tree.get(chars[start], NOWHERE)[1] is None:
+                last[start + 1], back[start + 1] = NO_PIECE, start
+        return last, back
+
+    def _best_sums(self, chars: str) -> tuple[list, list[int]]:
+        tree, scores, n = self.model.tree, self.model.scores, len(chars)
+        score, last, back = [0.0] * (n + 1), [None] * (n + 1), [0] * (n + 1)
+        last[0] = NO_PIECE
+        for start in range(n):
+            if last[start] is None:
+                continue
+            here, node, end = score[start], tree, start
+            for ch in chars[start:]:
+                found = node.get(ch)
+                if found is None:
+                    break
+                end += 1
+                node, piece = found
+                if piece is not None and (last[end] is None or here + scores[piece] > score[end]):
+                    score[end], last[end], back[end] = here + scores[piece], piece, start
             end = start + 1
-            if tree.get(chars[start], NOWHERE)[1] is None:
-                total = here + model.unknown_score
-                if last[end] is None or unigram and total > score[end]:
-                    score[end], last[end], back[end] = total, NO_PIECE, start
-        self.text, self.score, self.last, self.back = chars, score, last, back
-        return self._take(n)
+            if tree.get(chars[start], NOWHERE)[1] is None and (last[end] is None or here + self.model.unknown_score > score[end]):
+                score[end], last[end], back[end] = here + self.model.unknown_score, NO_PIECE, start
+        return last, back
 
     def _fits(self, before: int, piece: int) -> bool:
         """Whether merging the characters of two neighbours gives the same two."""
@@ -238,27 +263,25 @@ class StreamingViterbi:
 
 
 class PieceEncoder:
-    """Whole texts by stretches that no piece spans, with a bounded memory of stretches and piece pairs."""
+    """Whole texts by stretches that no piece spans, with a bounded memory of stretches."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.seen, self.fits = model, {}, {}
+        self.model = model
+        self.stream = StreamingViterbi(model)
+        self.seen = Memory(self._stretch, REMEMBERED)
+        self.coded = [i.to_bytes(model.dtype.itemsize, "little") for i in range(len(model.text_of))]
 
     def _stretch(self, chars: str) -> bytes:
-        stream = StreamingViterbi(self.model, self.fits)
         # What fits into the window has nothing to commit before its end.
+        stream = self.stream
         found = stream.whole(chars) if len(chars) < 2 * self.model.longest else stream.feed(chars) + stream.finish()
-        ids = np.array(found, dtype=self.model.dtype).tobytes()
-        if len(chars) <= LONG:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[chars] = ids
-        return ids
+        coded = self.coded
+        return b"".join([coded[i] for i in found])
 
     def encode(self, text: str) -> np.ndarray:
-        seen, new = self.seen, self._stretch
+        seen = self.seen
         normal = self.model.processor.normalize(text) if text else ""
-        # A stretch always has ids, so a remembered one is never empty.
-        return np.frombuffer(b"".join([seen.get(s) or new(s) for s in self.model.stretches.findall(normal)]), dtype=self.model.dtype)
+        return np.frombuffer(b"".join([seen[s] for s in self.model.stretches.findall(normal)]), dtype=self.model.dtype)
 
 
 def decode(model: PieceModel, ids: Iterable[int]) -> str:
@@ -305,7 +328,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = piece_encoder(model_path)
         for batch in batches:
-            with _no_collection():
+            with no_collection():
                 ids = [enc.encode(t.as_py() or "").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(ids, pa.binary())], names=[*carried, "ids"])
 
