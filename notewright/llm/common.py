@@ -43,15 +43,27 @@ def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> Dat
     place, text and all; only rows in a bucket with a dropped key are shuffled for
     the exact anti join. ``dropped`` is read twice: stage it.
     """
-    buckets = dropped.select(bucket_of(key).alias("__bucket")).distinct()
-    marked = docs.withColumn("__bucket", bucket_of(key)).join(
-        F.broadcast(buckets.withColumn("__suspect", F.lit(True))), "__bucket", "left"
-    )
-    clear = marked.filter(F.col("__suspect").isNull())
-    suspect = marked.filter(F.col("__suspect")).join(dropped.select(key).distinct(), key, "left_anti")
+    marked = _marked(docs, dropped, key)
+    clear = marked.filter(F.col("__n").isNull())
+    # The condition names the count, else the optimizer would move the anti join below the filter, to all rows.
+    gone = dropped.select(F.col(key).alias("__gone")).distinct()
+    suspect = marked.filter(F.col("__n").isNotNull()).join(gone, (F.col("__n") > 0) & (F.col(key) == F.col("__gone")), "left_anti")
     return clear.unionByName(suspect).select(*docs.columns)
 
 
+def _marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``__n``, the rows of ``ids`` in the same bucket, or null."""
+    buckets = ids.groupBy(bucket_of(key).alias("__bucket")).agg(F.count("*").alias("__n"))
+    return docs.withColumn("__bucket", bucket_of(key)).join(F.broadcast(buckets), "__bucket", "left")
+
+
+def with_ids(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``wanted``; only rows in a bucket with a wanted key are shuffled."""
+    found = wanted.select(F.col(key).alias("__found")).distinct()
+    near = _marked(docs, wanted, key).filter(F.col("__n").isNotNull())
+    return near.join(found, F.col(key) == F.col("__found")).select(*docs.columns)  # a semi join would be moved below the filter
+
+
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1 << 14) -> int | None:
     """The k-th largest value of a LONG column, exactly; None when there are fewer rows.
 

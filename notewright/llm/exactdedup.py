@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import bucket_of, join_facts, text_of
+from notewright.llm.common import bucket_of, join_facts, text_of, with_ids, without_ids
 from notewright.session import stage
 
 LENGTH_BUCKETS = 1 << 16
@@ -84,12 +84,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id.
 
-    Rows without a possible partner pass in place; only the others are shuffled.
+    The decision is made on hashes, so texts move only where a row's bucket holds a row that goes.
     """
-    marked = suspects(docs, id_col, text_col)
-    unique = marked.filter("not __suspect")
-    hashed = marked.filter("__suspect").withColumn("__hash", F.sha2("__text", 256))
-    keepers = stage(hashed.groupBy("__hash").agg(F.max(id_col).alias("__keep")), "keepers")
-    same = (hashed["__hash"] == keepers["__hash"]) & hashed[id_col].eqNullSafe(keepers["__keep"])
-    kept = hashed.join(keepers, same, "left_semi").dropDuplicates(["__hash", id_col])
-    return unique.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    key = lambda hashed: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), hashed).alias("__key")
+    rows = exact_groups(docs, id_col, text_col).filter("group_size > 1")
+    keys = stage(rows.groupBy(key(F.col("full_hash"))).agg(F.count("*").alias("copies"), F.max("kept").alias("keeps")), "copies")
+    keyed = docs.withColumn("__key", key(F.sha2(text_of(text_col), 256)))
+    left = without_ids(keyed, keys.filter("not keeps or copies > 1"), "__key")
+    once = with_ids(keyed, keys.filter("keeps and copies > 1"), "__key").dropDuplicates(["__key"])
+    return left.unionByName(once).select(*docs.columns)
