@@ -82,6 +82,17 @@ def tokens_13a(c: Column) -> Column:
     return words(out)
 
 
+def substrings(col: Column, longest: Column | None = None) -> Column:
+    """The different non-empty substrings of a short text, those up to ``longest`` characters; null if there are none."""
+    size = F.length(col)
+    top = size if longest is None else F.least(size, longest)
+    parts = F.transform(
+        F.sequence(F.lit(1), top),
+        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda b: F.substring(col, b, n)),
+    )
+    return F.when(top > 0, F.array_distinct(F.flatten(parts)))
+
+
 def truncate_chars(c: Column, n: int) -> Column:
     return F.substring(text_or_empty(c), 1, n)
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from notewright import parallel
 from notewright import schema as S
 from notewright.functions.text import (
-    is_blank,
     normalize_entity_text,
     strip,
+    substrings,
     text_or_empty,
     word_count,
 )
@@ -234,13 +234,12 @@ def dedup_exact(entities: DataFrame) -> DataFrame:
     )
 
 
-def dedup_entities(entities: DataFrame, pair_limit: int = 64) -> DataFrame:
+def dedup_entities(entities: DataFrame) -> DataFrame:
     """Exact duplicates merged, then spans inside a longer span of the same label dropped.
 
     Being inside is transitive, so "inside any longer one" equals a greedy longest-first
-    pass. Documents with up to ``pair_limit`` spans of a label are compared pairwise.
-    Beyond that each span lists its own substrings and a plain equality join finds the
-    covered ones, so the work stays linear in the group.
+    pass. Each span lists its own substrings and a plain equality join finds the covered
+    ones, so the work stays linear in the group.
     Adds ``dup_rank``: the order of the survivors, longest first, then by first sighting.
     """
     unique = dedup_exact(entities).withColumn("low", F.lower("text"))
@@ -249,18 +248,6 @@ def dedup_entities(entities: DataFrame, pair_limit: int = 64) -> DataFrame:
     )
     spans = unique.join(sizes, ["id", "label"])
 
-    few = spans.filter(F.col("group_size") <= pair_limit)
-    outer = few.select("id", "label", F.col("low").alias("outer_text"))
-    small = few.join(
-        outer,
-        (few["id"] == outer["id"])
-        & (few["label"] == outer["label"])
-        & (F.length("outer_text") > F.length(few["low"]))
-        & F.contains(F.col("outer_text"), few["low"]),
-        "left_anti",
-    )
-
-    many = spans.filter(F.col("group_size") > pair_limit)
     # Substrings only of the lengths that some span of the group has.
     inner_texts = F.flatten(
         F.transform(
@@ -271,16 +258,12 @@ def dedup_entities(entities: DataFrame, pair_limit: int = 64) -> DataFrame:
             ),
         )
     )
-    parts = many.select("id", "label", F.explode(inner_texts).alias("low")).distinct()
-    large = many.join(parts, ["id", "label", "low"], "left_anti")
+    parts = spans.select("id", "label", F.explode(inner_texts).alias("low")).distinct()
+    left = spans.join(parts, ["id", "label", "low"], "left_anti")
 
     columns = ["id", "pos", "text", "label", "score"]
     order = Window.partitionBy("id").orderBy(F.length("text").desc(), "pos")
-    return (
-        small.select(*columns)
-        .unionByName(large.select(*columns))
-        .withColumn("dup_rank", F.row_number().over(order).cast("long"))
-    )
+    return left.select(*columns).withColumn("dup_rank", F.row_number().over(order).cast("long"))
 
 
 # -------------------------------------------------------------------- tagging
@@ -442,7 +425,7 @@ def mark_negated(entities: DataFrame, scopes: DataFrame, width: int = 4096) -> D
     )
     return (
         entities.join(hits, ["id", "pos"], "left")
-        .withColumn("negated", F.col("negated") | F.coalesce("is_hit", F.lit(False)))
+        .withColumn("negated", F.coalesce("negated", F.lit(False)) | F.coalesce("is_hit", F.lit(False)))
         .select(*entities.columns)
     )
 
@@ -450,14 +433,6 @@ def mark_negated(entities: DataFrame, scopes: DataFrame, width: int = 4096) -> D
 # -------------------------------------------------------------- normalisation
 
 
-def lexicon_array(lexicon: DataFrame) -> Column:
-    """A small ordered lexicon (``ord, phrase, term``) as one array-valued scalar."""
-    return (
-        lexicon.agg(F.array_sort(F.collect_list(F.struct("ord", "phrase", "term"))).alias("lexicon"))
-        .scalar()
-    )
-
-
 def literal_lexicon(pairs: Sequence[tuple[str, str]] = S.LAY_TERMS) -> Column:
     return F.array(
         *[
@@ -467,20 +442,33 @@ def literal_lexicon(pairs: Sequence[tuple[str, str]] = S.LAY_TERMS) -> Column:
     )
 
 
-def concept_term(text: Column, lexicon: Column) -> Column:
-    """Clinical term for a lay phrase: exact, else first entry that contains or is contained."""
-    key = F.lower(strip(text))
-    exact = F.filter(lexicon, lambda e: e["phrase"] == key)
-    near = F.filter(lexicon, lambda e: F.contains(key, e["phrase"]) | F.contains(e["phrase"], key))
-    hit = F.coalesce(F.get(exact, F.lit(0)), F.get(near, F.lit(0)))
-    return F.when(is_blank(text), text).otherwise(F.coalesce(hit["term"], text))
+def concept_terms(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``key, term`` for those of the distinct ``key`` that equal, contain or stand in a phrase.
+
+    A phrase inside a key is one of the key's substrings, and the other way round, so
+    both are found by equality. An equal phrase wins, then the smallest ``ord``.
+    """
+    entry = F.min(F.struct("ord", "phrase", "term")).alias("entry")
+    phrases = lexicon.filter("phrase <> ''").groupBy("phrase").agg(entry)
+    sized = texts.select("key", phrases.agg(F.max(F.length("phrase"))).scalar().alias("longest"))
+    parts = lexicon.select("*", F.explode(substrings(F.col("phrase"))).alias("part")).groupBy("part").agg(entry)
+    inside = sized.select("key", F.explode(substrings(F.col("key"), F.col("longest"))).alias("phrase")).join(phrases, "phrase")
+    around = texts.join(parts, F.col("key") == F.col("part"))
+    equal = (F.col("key") != F.col("entry.phrase")).alias("other")
+    found = inside.select("key", equal, "entry").unionByName(around.select("key", equal, "entry"))
+    return found.groupBy("key").agg(F.min(F.struct("other", "entry"))["entry"]["term"].alias("term"))
+
 
+def normalize_concept(entities: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Add the clinical ``term`` of a lay phrase and a null ``cui``. Each distinct text is looked up once.
 
-def normalize_concept(entities: DataFrame, lexicon: Column | None = None) -> DataFrame:
-    """Add ``term`` and a null ``cui``. Each distinct text is looked up once."""
-    lexicon = literal_lexicon() if lexicon is None else lexicon
-    texts = entities.select("text").distinct().withColumn("lexicon", lexicon)
-    terms = texts.select("text", concept_term(F.col("text"), F.col("lexicon")).alias("term"))
+    ``lexicon`` has ``ord, phrase, term``. A text without a match, blank or null, is its own term.
+    """
+    if lexicon is None:
+        lexicon = entities.sparkSession.range(1).select(F.inline(literal_lexicon()))
+    texts = entities.select("text").distinct().withColumn("key", F.lower(strip(F.col("text"))))
+    terms = concept_terms(texts.select("key").distinct(), lexicon)
+    terms = texts.join(terms, "key", "left").select("text", F.coalesce("term", "text").alias("term"))
     return entities.join(terms, "text", "left").withColumn("cui", F.lit(None).cast("string"))
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 
 # Up to this many rows a table may arrive in too few splits to keep all cores busy.
 SMALL_ROWS = 1_000_000
-SMALL_BYTES = 256 << 20
+# Bytes of the multiplied rows that one task should hold, and how many times the words and
+# n-grams of a text, with their keys, are larger than the text in its file.
+TASK_BYTES = 128 << 20
+GROWTH = 16
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -17,18 +20,19 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Cut by ``keys`` into twice the session's number of shuffle partitions.
+    """Cut by ``keys`` into partitions that grow with the input: :func:`partitions_for`.
 
     For rows that are about to be multiplied (words, n-grams): more and smaller
     partitions keep the multiplied rows in memory, and naming a number keeps adaptive
-    execution from merging them by their size before that. A table that is estimated
-    to be small gets two partitions per core, should the session ask for more.
+    execution from merging them by their size before that.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = estimated_bytes(df)
-    if size is not None and size <= SMALL_BYTES:
-        n = min(n, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(2 * n, *keys)
+    return df.repartition(partitions_for(estimated_bytes(df), n), *keys)
+
+
+def partitions_for(size: int | None, shuffle_partitions: int) -> int:
+    """Twice the session's number, or as many as keep the multiplied rows of ``size`` bytes in ``TASK_BYTES`` each."""
+    return max(2 * shuffle_partitions, -(-(size or 0) * GROWTH // TASK_BYTES))
 
 
 def spread_small(df: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright import schema as S
-from notewright.functions.text import text_or_empty, words
+from notewright.functions.text import text_or_empty
 from notewright.operators.dialogues import assemble_dialogues
 from notewright.operators.entities import (
     entities_json,
@@ -63,36 +63,34 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three runs over the pairs: all words of the prediction, three quarters, half."""
-    w = words(F.col("pred"))
-
-    def cut(percent: int):
-        keep = F.floor(F.size(w) * percent / 100).cast("int")
-        return F.array_join(F.slice(w, F.lit(1), keep), " ")
-
+    """Three runs over the pairs, of whole texts: what the assistant said, the user, both."""
     variants = F.array(
         *[
-            F.struct(F.lit(name).alias("config"), cut(p).alias("pred"))
-            for name, p in (("full", 100), ("cut75", 75), ("cut50", 50))
+            F.struct(F.lit(name).alias("config"), F.col(said).alias("pred"))
+            for name, said in (("assistant", "pred"), ("user", "ref"), ("dialogue", "dialogue"))
         ]
     )
     return pairs(spark, sf_dir).select("id", "dialogue", "ref", F.inline(variants))
 
 
-def lexicon(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
-    """``ord, phrase, label, score``: the most frequent longer words of ``benchmark``."""
+def _place():
+    """An order of phrases that needs no sort: the first 48 bits of their MD5."""
+    return F.conv(F.substring(F.md5("phrase"), 1, 12), 16, 10).cast("long").alias("ord")
+
+
+def two_word_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord, phrase, term``: every two adjacent words of ``benchmark``."""
+    tokens = benchmark(spark, sf_dir).select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w"))
+    after = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda word, i: F.concat_ws(" ", F.get("w", i), word))
+    phrases = tokens.select(F.explode(after).alias("phrase")).distinct()
+    return phrases.select(_place(), "phrase", F.upper("phrase").alias("term"))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord, phrase, label, score``: every word of ``benchmark``."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    top = (
-        benchmark(spark, sf_dir)
-        .select(F.explode(tokens).alias("phrase"))
-        .filter(F.length("phrase") >= 6)
-        .groupBy("phrase")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.col("n").desc(), "phrase")
-        .limit(size)
-    )
-    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "phrase")) - 1
-    return top.select(place.cast("long").alias("ord"), "phrase").select(
+    every = benchmark(spark, sf_dir).select(F.explode(tokens).alias("phrase")).distinct()
+    return every.select(_place(), "phrase").select(
         "ord",
         "phrase",
         F.get(literal_array(S.ENTITY_LABELS), (F.col("ord") % 10).cast("int")).alias("label"),

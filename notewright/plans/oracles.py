@@ -52,13 +52,16 @@ PAIRS = """pairs AS (
     coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS ref,
     coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS pred
   FROM conversations GROUP BY conv_id)"""
+PLACE = "('0x' || substr(md5(phrase), 1, 12))::BIGINT"
 LEXICON = f"""lexicon AS (
   SELECT ord, phrase, ([{strs(S.ENTITY_LABELS)}])[(ord % 10 + 1)::INT] AS label,
     least(1.0::DOUBLE, round(0.3::DOUBLE + (ord % 8)::DOUBLE / 10, 4)) AS score
-  FROM (SELECT phrase, row_number() OVER (ORDER BY n DESC, phrase) - 1 AS ord
-        FROM (SELECT phrase, count(*) AS n
-              FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS phrase FROM benchmark)
-              WHERE length(phrase) >= 6 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 200)))"""
+  FROM (SELECT phrase, {PLACE} AS ord
+        FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS phrase FROM benchmark)))"""
+CONCEPTS = f"""concepts AS (
+  SELECT phrase, {PLACE} AS ord, upper(phrase) AS term
+  FROM (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase
+        FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)))"""
 
 
 def pieces(name: str, src: str, col: str) -> str:
@@ -272,8 +275,8 @@ rows_ AS (SELECT id, dialogue, ref AS note, pred AS generated_note, entity_block
 # ------------------------------------------------------------------ retrieval
 
 
-def bm25(name: str, queries: str, docs: str, k: int = 20, where: str = "") -> str:
-    """Okapi scores straight from the formula, over every pair that shares a word."""
+def bm25_terms(name: str, docs: str) -> str:
+    """Words of each document, lengths, and the weight of each word."""
     toks = words("lower(text)")
     return f"""{name}_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({toks}) AS term FROM {docs}) GROUP BY ALL),
 {name}_len AS (SELECT id, len({toks}) AS dl FROM {docs}),
@@ -281,7 +284,13 @@ def bm25(name: str, queries: str, docs: str, k: int = 20, where: str = "") -> st
 {name}_raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw
   FROM {name}_tf, {name}_n GROUP BY term, n),
 {name}_idf AS (SELECT term, df, CASE WHEN raw < 0 THEN round(0.25::DOUBLE * (SELECT avg(raw) FROM {name}_raw), 10)
-  ELSE raw END AS idf FROM {name}_raw),
+  ELSE raw END AS idf FROM {name}_raw)"""
+
+
+def bm25(name: str, queries: str, docs: str, k: int = 20, where: str = "") -> str:
+    """Okapi scores straight from the formula, over every pair that shares a word."""
+    toks = words("lower(text)")
+    return f"""{bm25_terms(name, docs)},
 {name}_q AS (SELECT id AS query_id, term, count(*) AS qtf FROM (SELECT id, unnest({toks}) AS term FROM {queries}) GROUP BY ALL),
 {name}_s AS (
   SELECT query_id, t.id, round(sum(qtf * idf * tf * 2.5::DOUBLE
@@ -400,9 +409,8 @@ def length_cols() -> str:
 
 RUNS = f"""{PAIRS},
 runs AS (
-  SELECT config, id, ref, array_to_string(w[1:floor(len(w) * pct / 100.0)::INT], ' ') AS pred
-  FROM (SELECT id, ref, {words('pred')} AS w FROM pairs),
-    (VALUES ('full', 100), ('cut75', 75), ('cut50', 50)) c(config, pct))"""
+  SELECT 'assistant' AS config, id, ref, pred FROM pairs UNION ALL SELECT 'user', id, ref, ref FROM pairs
+  UNION ALL SELECT 'dialogue', id, ref, dialogue FROM pairs)"""
 
 SWEEP = f"""{RUNS},
 {grams('g', 'runs', toks13a, (1, 2, 3, 4), 'config, id')},
@@ -611,9 +619,9 @@ FROM ents e LEFT JOIN spot s ON s.id = e.id AND s.pos = e.pos"""
     q["promote_chief"] = promote()
     q["promote_chief_if_absent"] = promote("AND e.id NOT IN (SELECT id FROM ents WHERE label = 'chief complaint')")
     q["mark_negated"] = f"WITH {DOC_ENTS}, {negated('marked', 'ents', 'ents')} SELECT {ent_cols} FROM marked"
-    q["normalize_concept"] = f"""WITH {DOC_ENTS}, short AS (SELECT ord, substr(phrase, 1, 4) AS phrase, upper(phrase) AS term FROM lexicon),
+    q["normalize_concept"] = f"""WITH {DOC_ENTS}, {CONCEPTS},
 terms AS (SELECT t.text, coalesce(arg_min(term, ord) FILTER (s.phrase = t.text), arg_min(term, ord), t.text) AS term
-  FROM (SELECT DISTINCT text FROM ents) t LEFT JOIN short s ON contains(t.text, s.phrase) OR contains(s.phrase, t.text) GROUP BY t.text)
+  FROM (SELECT DISTINCT text FROM ents) t LEFT JOIN concepts s ON contains(t.text, s.phrase) OR contains(s.phrase, t.text) GROUP BY t.text)
 SELECT id, pos, text, term, NULL::VARCHAR AS cui FROM ents JOIN terms USING (text)"""
     q["entity_block"] = f"WITH {DOC_ENTS}, {block('blocks', 'docs', 'ents')} SELECT id, entity_block FROM blocks"
     flat = " ".join(f"WHEN {lit(lab)} THEN {k}" for k, (_, lab) in enumerate(S.FLAT_HEADINGS))
@@ -659,7 +667,7 @@ FROM own LEFT JOIN docs ON docs.id = own.id LEFT JOIN label_cells ON label_cells
 
     # retrieval
     hit_cols = "query_id, rank, id, score"
-    q["bm25_idf"] = f"WITH {DOCS}, {BENCH}, {bm25('bw', 'bench', 'docs')} SELECT term, df, round(idf, 6) AS idf FROM bw_idf"
+    q["bm25_idf"] = f"WITH {DOCS}, {bm25_terms('bw', 'docs')} SELECT term, df, round(idf, 6) AS idf FROM bw_idf"
     q["bm25_topk"] = f"WITH {DOCS}, {BENCH}, {bm25('bw', 'bench', 'docs')} SELECT {hit_cols} FROM bw"
     q["bm25_topk_dialogues"] = f"""WITH {DOCS}, {DIALOGUES}, said AS (SELECT id, dialogue AS text FROM dialogues),
 {bm25('bw', 'said', 'docs')} SELECT {hit_cols} FROM bw"""
@@ -690,7 +698,7 @@ SELECT count(*) AS n_pairs, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2),
 SELECT round(coalesce(avg(x), 0), 6) AS mean, round(coalesce(median(x), 0), 6) AS median, round(coalesce(stddev_samp(x), 0), 6) AS std FROM s"""
     q["noise_ratio"] = f"""WITH {DOC_ENTS}, r AS (SELECT id, avg((lower(text) IN (SELECT phrase FROM lexicon WHERE label = 'symptom'))::INT) AS x FROM ents GROUP BY id)
 SELECT round(coalesce(avg(x), 0), 6) AS mean FROM r"""
-    q["keyword_coverage"] = f"""WITH {PAIR_ENTS}, kw AS (SELECT ord, substr(phrase, 1, 4) AS w FROM lexicon),
+    q["keyword_coverage"] = f"""WITH {PAIR_ENTS}, kw AS (SELECT phrase AS w FROM lexicon),
 wanted AS (SELECT id, w, EXISTS (SELECT 1 FROM pe WHERE pe.id = pairs.id AND (contains(pe.text, w) OR contains(w, pe.text))) AS hit
   FROM pairs JOIN kw ON contains(lower(ref), w)), s AS (SELECT id, avg(hit::INT) AS x FROM wanted GROUP BY id)
 SELECT round(coalesce(avg(x), 0), 6) AS mean, count(*) AS rows_evaluated FROM s"""
@@ -734,9 +742,9 @@ FROM l GROUP BY column_name""".replace("\\\\", "\\")
     long = " UNION ALL ".join(f"SELECT config, {lit(m)} AS metric, {m}::DOUBLE AS value FROM sweep" for m in SWEEP_METRICS)
     q["compare_runs"] = f"""WITH {SWEEP}, long AS ({long})
 SELECT metric, b.value AS before, a.value AS after, round(a.value - b.value, 6) AS delta
-FROM (SELECT * FROM long WHERE config = 'cut50') b JOIN (SELECT * FROM long WHERE config = 'full') a USING (metric)"""
+FROM (SELECT * FROM long WHERE config = 'dialogue') b JOIN (SELECT * FROM long WHERE config = 'assistant') a USING (metric)"""
     q["leaderboard"] = f"""WITH {SWEEP} SELECT rank() OVER (ORDER BY bleu DESC) AS place, config, bleu,
-  round(bleu - (SELECT bleu FROM sweep WHERE config = 'cut75'), 6) AS delta FROM sweep"""
+  round(bleu - (SELECT bleu FROM sweep WHERE config = 'dialogue'), 6) AS delta FROM sweep"""
     present = " + ".join(f"{has_header('c.pred', i, n)}::INT" for i, n in enumerate(NAMES, 1))
     cands = f"""{RUNS},\n{LEXICON},\n{tagged('re', 'pairs', 'ref')},
 med AS (SELECT median(length(ref)) AS m FROM pairs),

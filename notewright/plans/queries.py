@@ -218,11 +218,8 @@ def mark_negated(spark, d):
 
 @query
 def normalize_concept(spark, d):
-    short = A.lexicon(spark, d).select(
-        "ord", F.substring("phrase", 1, 4).alias("phrase"), F.upper("phrase").alias("term")
-    )
     ents = _stored_entities(spark, d)
-    return E.normalize_concept(ents, E.lexicon_array(short)).select("id", "pos", "text", "term", "cui")
+    return E.normalize_concept(ents, A.two_word_phrases(spark, d)).select("id", "pos", "text", "term", "cui")
 
 
 @query
@@ -463,13 +460,8 @@ def noise_ratio(spark, d):
 
 @query
 def keyword_coverage(spark, d):
-    stems = A.lexicon(spark, d).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", "phrase"))),
-            lambda x: F.substring(x["phrase"], 1, 4),
-        ).alias("keywords")
-    )
-    return ES.keyword_coverage(A.pred_entities(spark, d), _ref_notes(spark, d), stems.scalar())
+    keywords = A.lexicon(spark, d).select(F.col("phrase").alias("word"))
+    return ES.keyword_coverage(A.pred_entities(spark, d), _ref_notes(spark, d), keywords)
 
 
 @query
@@ -537,12 +529,12 @@ def sweep_report_aligned(spark, d):
 
 @query
 def compare_runs(spark, d):
-    return R.compare_runs(sweep_report(spark, d), "cut50", "full")
+    return R.compare_runs(sweep_report(spark, d), "dialogue", "assistant")
 
 
 @query
 def leaderboard(spark, d):
-    return R.leaderboard(sweep_report(spark, d), "cut75")
+    return R.leaderboard(sweep_report(spark, d), "dialogue")
 
 
 @query
