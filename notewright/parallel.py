@@ -10,13 +10,21 @@ SMALL_ROWS = 1_000_000
 # n-grams of a text, with their keys, are larger than the text in its file.
 TASK_BYTES = 128 << 20
 GROWTH = 16
+# Catalyst gives an input of unknown size about the largest LONG. No scheduler likes more tasks than MOST.
+UNKNOWN = 1 << 60
+MOST = 100_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's own size estimate, from file sizes; None where a session hides it."""
+    """The size of the inputs of ``df`` by Catalyst's estimate; None where it is not known.
+
+    A plan's own estimate multiplies the sides of a join, so its inputs are added up.
+    """
     if not hasattr(df, "_jdf"):
         return None
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN for size in sizes) else sum(sizes)
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -32,7 +40,7 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
 def partitions_for(size: int | None, shuffle_partitions: int) -> int:
     """Twice the session's number, or as many as keep the multiplied rows of ``size`` bytes in ``TASK_BYTES`` each."""
-    return max(2 * shuffle_partitions, -(-(size or 0) * GROWTH // TASK_BYTES))
+    return max(2 * shuffle_partitions, min(MOST, -(-(size or 0) * GROWTH // TASK_BYTES)))
 
 
 def spread_small(df: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:
