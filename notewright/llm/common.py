@@ -57,6 +57,11 @@ def _marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.withColumn("__bucket", bucket_of(key)).join(F.broadcast(buckets), "__bucket", "left")
 
 
+def with_bucket(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` in a bucket with a wanted key: all that have one, and some that don't."""
+    return _marked(docs, wanted, key).filter(F.col("__n").isNotNull()).select(*docs.columns)
+
+
 def with_ids(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is in ``wanted``; only rows in a bucket with a wanted key are shuffled."""
     found = wanted.select(F.col(key).alias("__found")).distinct()

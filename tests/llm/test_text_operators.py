@@ -203,6 +203,47 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in table(left)) == list(range(40))
 
 
+def pair_at(rnd, jaccard, n, word):
+    """Two texts of ``n`` words with different words at the start of one, so that the five-word shingle sets have about that similarity."""
+    shared = round(2 * jaccard * (n - 4) / (1 + jaccard))
+    tail = [word() for _ in range(shared + 4)]
+    return [" ".join([word() for _ in range(n - len(tail))] + tail) for _ in range(2)]
+
+
+def brute_groups(texts, similarity=0.8):
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return components.star_links(len(sets), *np.array(links, dtype=int).reshape(-1, 2).T)
+
+
+def test_near_copies_have_the_jaccard_similarity(spark):
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    texts = [t for jaccard in (0.6, 0.75, 0.79, 0.81, 0.85) for n in (60, 200, 600) for _ in range(6) for t in pair_at(rnd, jaccard, n, word)]
+    common_half = " ".join(word() for _ in range(140))  # distinct texts that share a passage of more than half their length
+    texts += [f"{' '.join(word() for _ in range(60))} {common_half}" for _ in range(40)]
+    lines = [" ".join(word() for _ in range(9)) for _ in range(12)]
+    texts += [" ".join(lines), " ".join(lines * 5)]  # repeats change counts but hardly the set
+    texts += [" ".join(word() for _ in range(9)) for _ in range(30)]
+    texts += [f"{t} {word()}" for t in texts[-30:]]  # sets of 5 and 6 shingles
+    rnd.shuffle(texts)
+    label = brute_groups(texts)
+    left = simhash.drop_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in table(left)) == sorted(set(label.tolist()))
+
+
+def test_large_groups_are_checked_by_blocks(spark):
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(80)]
+    texts = [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(0, 80, 3)] + [" ".join(base[:40] + [word() for _ in range(40)]) for _ in range(20)]
+    made = [simhash.set_fingerprint(t, 5, 4) for t in texts]
+    df = spark.createDataFrame([(i, 0, fp, n, len(t), t) for i, (t, (fp, n, _)) in enumerate(zip(texts, made))], "node long, root long, fp binary, size long, n_bytes long, text string")
+    for block, block_bytes in ((6, 1 << 20), (512, 3000), (512, 1 << 20)):
+        found = [(r["a"], r["b"]) for r in table(simhash.jaccard_links(df, 5, 0.8, 256, 4, block, block_bytes))]
+        assert (components.star_links(len(texts), *np.array(found).T) == brute_groups(texts)).all()
+
+
 def test_importance_keeps_target_text(spark, empty):
     rnd = random.Random(9)
     good = lambda: " ".join(rnd.choice("the of river stone walked slowly home light and".split()) for _ in range(60))
