@@ -368,6 +368,26 @@ def test_licences(spark, docs, empty):
     assert licenses.scan_licenses(empty, model).count() == 0
 
 
+def test_licences_by_name_and_wrapped(spark):
+    model = licenses.fit(licenses.labelled_table(spark))
+    wanted = [  # no wording of the templates, or lines wrapped within a name
+        ("Released under CC BY-SA 4.0", {"cc-by-sa"}), ("This is distributed under the BSD 3-Clause terms", {"bsd"}), ("MIT", {"mit"}), ("CC0 1.0", {"cc0"}),
+        ("You may use it under the terms of the MPL 2.0", {"mpl"}), ("ISC", {"unknown"}), ("WTFPL", {"unknown"}), ("EPL-2.0", {"unknown"}),
+        ("Diese Software steht unter einer Lizenz", {"unknown"}), ("Unlicense", {"unknown"}),
+        ("// This work is released under the Creative Commons\n// Attribution-ShareAlike 4.0 International\n// Public License", {"cc-by-sa"}),
+        ("/*\n * Distributed under the terms of the GNU Affero\n * General Public License\n */", {"agpl"}), ("It is free under the GNU Lesser\nGeneral Public License.", {"lgpl"}),
+        ("Code is licensed under the MIT License. Text is available\nunder CC BY 4.0.", {"mit", "cc-by"}),
+        ("filler text " * 60 + "\nLicensed under the Apache\nLicense, Version 2.0. " + "other filler " * 60, {"apache"}),
+        ("Er ging mit der Frau und mit dem Hund.", set()), ("Plain prose about the river.\n\nAnd the park.", set()),
+    ]
+    found = {i: set() for i in range(len(wanted))}
+    for r in table(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(wanted)], "doc_id long, text string"), model)):
+        found[r["doc_id"]].add(r["family"])
+    assert [(wanted[i][0][:60], f) for i, f in found.items()] == [(t[:60], f) for t, f in wanted]
+    placed = licenses.scan_licenses(spark.createDataFrame([(1, "a title\n\n# First.\n# All rights reserved.")], "doc_id long, text string"), model)
+    assert [(r["paragraph"], r["place"], r["family"]) for r in table(placed)] == [(1, 1, "all-rights-reserved")]
+
+
 def test_near_vectors(spark):
     rnd = np.random.default_rng(13)
     base = rnd.standard_normal((120, 24))
