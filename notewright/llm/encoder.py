@@ -48,7 +48,7 @@ class Memory(dict):
 class Encoder:
     """``encode(text)`` gives ids like ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The names of special tokens within a text are ordinary text. For a byte-level model
+    As in the library, the names of added tokens within a text are those tokens; such texts are left to it. For a byte-level model
     the library's own splitting is most of the cost, so texts are split here by the same pattern and
     the library's model is asked once per distinct word; any other tokenizer file is
     used as it is.
@@ -56,9 +56,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         config = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in config.get("added_tokens") or []]
         pre = config.get("pre_tokenizer") or {}
         self.by_words = (
             config["model"]["type"] == "BPE"
@@ -76,7 +76,7 @@ class Encoder:
         self.chunks = Memory(lambda chunk: b"".join([of_word(w) for w in _WORDS.findall(chunk)]))
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_words:
+        if not self.by_words or any(name in text for name in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
         seen = self.chunks
         return np.frombuffer(b"".join([seen[c] for c in _CHUNK.findall(text)]), dtype=self.dtype)

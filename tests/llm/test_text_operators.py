@@ -108,6 +108,13 @@ def test_encoder_equals_the_library():
         assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_names_of_added_tokens_are_those_tokens():
+    ours, theirs = Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "a <|endoftext b|>"):
+        assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert 50256 in ours.encode("a <|endoftext|> b")
+
+
 def test_elias_fano():
     for n, top in ((0, 1), (1, 10**12), (700, 50), (3000, 10**9)):
         values = np.sort(np.random.default_rng(n).integers(0, top, n))
