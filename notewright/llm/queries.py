@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import capfilters, exactdedup, importance, licenses, packing, pieces, pii, sharding, simhash, tokenbin
+from notewright.llm import capfilters, curriculum, exactdedup, importance, licenses, packing, pieces, pii, sharding, simhash, tokenbin
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,15 +78,68 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_crc32", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op13_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words taken in all passes, and the position and slot of its first."""
+    order = curriculum.curriculum(_table(spark, sf_dir, "documents"), curriculum.SCHEDULES, budget=1.5, repeats=2)
+    return (
+        order.groupBy("row", "doc_id", "size", "source_size", "target")
+        .agg(F.sum("words").alias("taken"), F.min("at").alias("first_at"), F.min("slot").alias("first_slot"))
+        .drop("row")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_importance, op2_personal_data, op3_sharding, op4_token_files, op5_licenses,
         op6_simhash, op7_packing, op8_cap_filters, op9_exact_dedup, op10_sentencepiece,
+        op13_curriculum,
     )
 }
 
+# The schedules of the curriculum solved piece by piece; c is the source's kind, x the integral reached.
+CURRICULUM_SQL = """
+    WITH d AS (
+        SELECT doc_id, 's' || source AS key, md5(doc_id::VARCHAR) AS h,
+            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+        FROM documents
+    ), s AS (
+        SELECT key, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY key NULLS LAST) - 1) % 3 AS c,
+            CASE c WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
+        FROM d GROUP BY key
+    ), f AS (
+        SELECT *, 2 * source_size / weight AS full_at FROM s
+    ), l AS (
+        SELECT max(level) AS level FROM (
+            SELECT full_at, (1.5 * (SELECT sum(source_size) FROM f) - coalesce(sum(2 * source_size) OVER below, 0))::DOUBLE / sum(weight) OVER above AS level
+            FROM f
+            WINDOW below AS (ORDER BY full_at GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), above AS (ORDER BY full_at GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        ) WHERE level <= full_at
+    ), g AS (
+        SELECT key, source_size, c, least((2 * source_size)::DOUBLE, weight * level) AS target, floor(target)::BIGINT AS demand FROM f, l
+    ), a AS (
+        SELECT d.*, source_size, c, target, demand, coalesce(sum(size) OVER (
+            PARTITION BY d.key ORDER BY h NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead,
+            row_number() OVER () AS row
+        FROM d JOIN g ON d.key IS NOT DISTINCT FROM g.key
+    ), p AS (
+        SELECT *, (pass - 1) * source_size + ahead AS begin, greatest(least(demand - begin, size), 0) AS words, begin / demand AS share,
+            CASE WHEN c = 0 THEN CASE WHEN share * 5.0 > 3.0 THEN 0.5 + 2.0 * (share * 5.0 - 3.0) / (5.0 + sqrt(greatest(25.0::DOUBLE - 8.0 * (share * 5.0 - 3.0), 0.0)))
+                    ELSE 2.0 * (share * 5.0) / (7.0 + sqrt(greatest(49.0::DOUBLE - 8.0 * (share * 5.0), 0.0))) END
+                WHEN c = 1 THEN 2.0 * (share * 2.0) / (2.0 + sqrt(4.0::DOUBLE))
+                ELSE CASE WHEN share * 1.0 > 0.125 THEN 0.5 + 2.0 * (share * 1.0 - 0.125) / (0.5 + sqrt(greatest(0.25::DOUBLE + 10.0 * (share * 1.0 - 0.125), 0.0)))
+                    WHEN share > 0 THEN 2.0 * share / sqrt(greatest(2.0::DOUBLE * share, 0.0)) ELSE 0.0 END END AS time,
+            CASE WHEN words > 0 THEN round(time, 9) END AS spot
+        FROM a, (VALUES (1), (2)) AS t(pass) WHERE pass = 1 OR greatest(least(demand - (pass - 1) * source_size - ahead, size), 0) > 0
+    ), o AS (
+        SELECT *, CASE WHEN words > 0 THEN row_number() OVER (ORDER BY spot NULLS LAST, key NULLS LAST, h NULLS LAST, doc_id NULLS LAST, size, pass) - 1 END AS slot FROM p
+    )
+    SELECT doc_id, size, source_size, target, sum(words)::BIGINT AS taken, min(spot) AS first_at, min(slot) AS first_slot
+    FROM o GROUP BY row, doc_id, size, source_size, target
+"""
+
 ORACLES = {
+    "op13_curriculum": CURRICULUM_SQL,
     "op8_cap_filters": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
