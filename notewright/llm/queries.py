@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import capfilters, curriculum, exactdedup, importance, licenses, packing, pieces, pii, sharding, simhash, tokenbin
+from notewright.llm import capfilters, curriculum, exactdedup, importance, licenses, packing, pieces, pii, sharding, simhash, tokenbin, zonemaps
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_crc32", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemaps.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2).drop("n_candidates")
+
+
 def op13_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words taken in all passes, and the position and slot of its first."""
     order = curriculum.curriculum(_table(spark, sf_dir, "documents"), curriculum.SCHEDULES, budget=1.5, repeats=2)
@@ -93,7 +97,7 @@ QUERIES = {
     for f in (
         op1_importance, op2_personal_data, op3_sharding, op4_token_files, op5_licenses,
         op6_simhash, op7_packing, op8_cap_filters, op9_exact_dedup, op10_sentencepiece,
-        op13_curriculum,
+        op12_zone_maps, op13_curriculum,
     )
 }
 
@@ -138,7 +142,34 @@ CURRICULUM_SQL = """
     FROM o GROUP BY row, doc_id, size, source_size, target
 """
 
+
+
+def _clusters_sql(k: int, rounds: int, dim: int, seed: int) -> str:
+    """Every vector against every centroid, component by component, round after round."""
+    parts = [
+        f"""v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e, row_number() OVER () AS row FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS (SELECT row, unnest(e) AS x, unnest(range({dim})) AS i FROM v),
+        c0 AS (SELECT n, unnest(e) AS c, unnest(range({dim})) AS i FROM (
+            SELECT e, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, e) - 1 AS n FROM v) WHERE n < {k})"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS (SELECT row, n, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY row, n)")
+        parts.append(f"a{r} AS (SELECT row, arg_min(n, (d, n)) AS n, min(d) AS d FROM d{r} GROUP BY row)")
+        parts.append(
+            f"""c{r + 1} AS (SELECT n, i, coalesce(m, c) AS c FROM c{r}
+            LEFT JOIN (SELECT n, i, floor(sum(x) / count(*))::BIGINT AS m FROM a{r} JOIN x USING (row) GROUP BY n, i) USING (n, i))"""
+        )
+    return f"""
+        WITH {", ".join(parts)}, s AS (SELECT n, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY n)
+        SELECT vec_id, n::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY n)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+        FROM v JOIN a{rounds} USING (row) JOIN s USING (n)
+    """
+
+
 ORACLES = {
+    "op12_zone_maps": _clusters_sql(k=40, rounds=5, dim=64, seed=2),
     "op13_curriculum": CURRICULUM_SQL,
     "op8_cap_filters": """
         WITH RECURSIVE v AS (
