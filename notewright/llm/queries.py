@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import capfilters, curriculum, exactdedup, importance, licenses, packing, pieces, pii, sharding, simhash, tokenbin, zonemaps
+from notewright.llm import capfilters, curriculum, exactdedup, importance, licenses, packing, permuterm, pieces, pii, sharding, simhash, tokenbin, zonemaps
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_crc32", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op11_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = permuterm.word_table(_table(spark, sf_dir, "documents"), least=7, occurrences=2, damage=31)
+    return permuterm.variants(words, times=10)
+
+
 def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonemaps.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2).drop("n_candidates")
 
@@ -97,7 +102,7 @@ QUERIES = {
     for f in (
         op1_importance, op2_personal_data, op3_sharding, op4_token_files, op5_licenses,
         op6_simhash, op7_packing, op8_cap_filters, op9_exact_dedup, op10_sentencepiece,
-        op12_zone_maps, op13_curriculum,
+        op11_permuterm, op12_zone_maps, op13_curriculum,
     )
 }
 
@@ -144,6 +149,50 @@ CURRICULUM_SQL = """
 
 
 
+def _crc32_table() -> list[int]:
+    """The remainders of all bytes by the reflected polynomial of CRC-32."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+# CRC-32 byte by byte; neighbours by their text without a character, put together from both sides of it.
+VARIANTS_SQL = f"""
+    WITH RECURSIVE r AS (
+        SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]{{7,}}')) AS run
+        FROM documents
+    ), o AS (
+        SELECT run, hex(encode(id || ':' || run)) AS x, count(*) AS n FROM r GROUP BY id, run
+    ), h AS (
+        SELECT run, n, xor(4294967295, list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(range(1, len(x)::BIGINT, 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+            lambda c, b: xor(c >> 8, ({_crc32_table()}::BIGINT[])[(xor(c, b) & 255) + 1]))) AS h
+        FROM o
+    ), w AS (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+        FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+    ), c AS (
+        SELECT word, n, i, left(word, i - 1) AS a, substring(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+    ), near AS (
+        SELECT x.word, y.word AS other, y.n FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+        UNION SELECT c.word, w.word, w.n FROM c JOIN w ON w.word = c.a || c.b
+        UNION SELECT w.word, c.word, c.n FROM c JOIN w ON w.word = c.a || c.b
+    ), best AS (
+        SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(other, (-n, other)) AS form FROM near GROUP BY word
+    ), f AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+        FROM w LEFT JOIN best USING (word)
+    ), chain AS (
+        SELECT word, word AS last FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL
+    )
+    SELECT f.word, f.form, chain.last AS root, f.n, f.n_near, f.form_n
+    FROM f JOIN chain ON chain.word = f.word JOIN f AS e ON e.word = chain.last AND e.form IS NULL
+"""
+
+
 def _clusters_sql(k: int, rounds: int, dim: int, seed: int) -> str:
     """Every vector against every centroid, component by component, round after round."""
     parts = [
@@ -169,6 +218,7 @@ def _clusters_sql(k: int, rounds: int, dim: int, seed: int) -> str:
 
 
 ORACLES = {
+    "op11_permuterm": VARIANTS_SQL,
     "op12_zone_maps": _clusters_sql(k=40, rounds=5, dim=64, seed=2),
     "op13_curriculum": CURRICULUM_SQL,
     "op8_cap_filters": """
