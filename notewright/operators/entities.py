@@ -21,6 +21,8 @@ from notewright.functions.text import (
     text_or_empty,
     word_count,
 )
+from notewright.operators.containment import occurrences
+from notewright.session import stage
 
 
 def literal_map(pairs: Mapping[str, str]) -> Column:
@@ -238,28 +240,13 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
     """Exact duplicates merged, then spans inside a longer span of the same label dropped.
 
     Being inside is transitive, so "inside any longer one" equals a greedy longest-first
-    pass. Each span lists its own substrings and a plain equality join finds the covered
-    ones, so the work stays linear in the group.
+    pass. Spans are looked for by anchors in the others of their document and label.
     Adds ``dup_rank``: the order of the survivors, longest first, then by first sighting.
     """
-    unique = dedup_exact(entities).withColumn("low", F.lower("text"))
-    sizes = unique.groupBy("id", "label").agg(
-        F.count("*").alias("group_size"), F.collect_set(F.length("low")).alias("lengths")
-    )
-    spans = unique.join(sizes, ["id", "label"])
-
-    # Substrings only of the lengths that some span of the group has.
-    inner_texts = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda n: n < F.length("low")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("low") - n + 1),
-                lambda b: F.substring(F.col("low"), b, n),
-            ),
-        )
-    )
-    parts = spans.select("id", "label", F.explode(inner_texts).alias("low")).distinct()
-    left = spans.join(parts, ["id", "label", "low"], "left_anti")
+    unique = stage(dedup_exact(entities).withColumn("low", F.lower("text")), "spans")
+    spans = unique.select("id", "label", "low")
+    inner = occurrences(spans, spans.withColumnRenamed("low", "word"), on=["id", "label"], keep=["id", "label"], longer=True)
+    left = unique.join(inner.withColumnRenamed("word", "low"), ["id", "label", "low"], "left_anti")
 
     columns = ["id", "pos", "text", "label", "score"]
     order = Window.partitionBy("id").orderBy(F.length("text").desc(), "pos")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright import schema as S
-from notewright.functions.text import normalize_text, substrings, text_or_empty, word_count
+from notewright.functions.text import normalize_text, text_or_empty, word_count
+from notewright.operators.containment import occurrences
 from notewright.operators.entities import entity_set_diff
+from notewright.session import stage
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -96,46 +98,23 @@ def all_keywords() -> list[str]:
     return [k for group in S.CLINICAL_KEYWORDS.values() for k in group]
 
 
-def words_within(notes: DataFrame, keywords: DataFrame, stretch: int = 256) -> DataFrame:
-    """Distinct ``id, word`` for every ``word`` of ``keywords`` that stands somewhere in the lower-cased ``note``.
-
-    Notes are cut into overlapping stretches, whose substrings of the lengths that
-    keywords have meet the keywords by equality.
-    """
-    sizes = keywords.agg(F.collect_set(F.length("word")).alias("sizes"))
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("low") - 1, F.lit(0)) / stretch).cast("int"))
-    cut = F.substring("low", F.col("i") * stretch + 1, F.array_max("sizes") + stretch - 1)
-    return (
-        notes.select("id", F.lower(text_or_empty(F.col("note"))).alias("low"), sizes.scalar().alias("sizes"))
-        .select("id", "low", "sizes", F.explode(starts).alias("i"))
-        .select("id", "sizes", cut.alias("cut"))
-        .select("id", "cut", F.explode("sizes").alias("size"))
-        .filter(F.length("cut") >= F.col("size"))
-        .select("id", "cut", "size", F.explode(F.sequence(F.lit(1), F.length("cut") - F.col("size") + 1)).alias("at"))
-        .select("id", F.substring("cut", F.col("at"), F.col("size")).alias("word"))
-        .join(keywords, "word", "left_semi")
-        .distinct()
-    )
-
-
 def keyword_coverage(entities: DataFrame, notes: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """How much of the keywords in a note some entity of the document captures.
 
     ``keywords`` has a column ``word``; a word that stands in it twice counts twice, an
     empty one or an empty entity not at all. An entity captures a keyword that contains
-    it or that it contains; both are joins on substrings within a document.
+    it or that it contains; all three searches are joins on anchors (:func:`occurrences`).
     """
     if keywords is None:
         fixed = F.array(*[F.lit(k) for k in all_keywords()])
         keywords = entities.sparkSession.range(1).select(F.explode(fixed).alias("word"))
     counted = keywords.filter("word <> ''").groupBy("word").agg(F.count("*").alias("weight"))
-    longest = counted.agg(F.max(F.length("word"))).scalar().alias("longest")
-    wanted = words_within(notes, counted.select("word"))
-    texts = entities.select("id", F.lower("text").alias("low")).distinct()
-    sized = texts.select("*", longest)
-    inside = wanted.select("id", "word", F.explode(substrings(F.col("word"))).alias("low")).join(texts, ["id", "low"], "left_semi")
-    around = sized.select("id", F.explode(substrings(F.col("low"), F.col("longest"))).alias("word"))
-    captured = inside.select("id", "word").unionByName(around).distinct().withColumn("hit", F.lit(1))
+    lowered = notes.select("id", F.lower(text_or_empty(F.col("note"))).alias("low"))
+    wanted = stage(occurrences(lowered, counted.select("word"), keep=["id"]), "wanted")
+    texts = stage(entities.select("id", F.lower("text").alias("low")).distinct(), "entity-texts")
+    around = occurrences(texts, wanted, on=["id"], keep=["id"])
+    inside = occurrences(wanted.withColumnRenamed("word", "low"), texts.withColumnRenamed("low", "word"), on=["id"], keep=["id", "low"])
+    captured = around.select("id", "word").unionByName(inside.select("id", F.col("low").alias("word"))).distinct().withColumn("hit", F.lit(1))
     per_note = (
         wanted.join(captured, ["id", "word"], "left")
         .join(counted, "word")

@@ -325,14 +325,14 @@ def fused(name: str, words_: str, vecs_: str, k: int) -> str:
   WHERE rank <= {k})"""
 
 
-def hybrid(other_only: bool = False) -> str:
+def hybrid(other_only: bool = False, k: int = 2) -> str:
     bw = "WHERE query_id <> t.id" if other_only else ""
     vw = "WHERE q.id <> c.id" if other_only else ""
     return f"""{DOCS},\n{VECS},
 dvecs AS (SELECT vecs.* FROM vecs JOIN docs USING (id)),
 {bm25('bw', 'docs', 'docs', 20, bw)},
 {vector('vw', 'dvecs', 'dvecs', 20, vw)},
-{fused('hits', 'bw', 'vw', 2)}"""
+{fused('hits', 'bw', 'vw', k)}"""
 
 
 NEAREST = """near AS (
@@ -678,6 +678,10 @@ SELECT query_id, rank, id, bm25_rank, vec_rank, rrf_score FROM hits"""
     q["hybrid_topk"] = f"""WITH {hybrid()} SELECT hits.*, substr(docs.text, 1, 2000) AS dialogue, docs.text AS note
 FROM hits JOIN docs ON docs.id = hits.id"""
     q["nearest_other"] = f"WITH {hybrid()}, {NEAREST} SELECT query_id, id, self_skipped, fallback FROM near"
+    q["nearest_others"] = f"""WITH {hybrid(k=6)}
+      SELECT query_id, nth AS rank, id FROM (
+        SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM hits WHERE id <> query_id)
+      WHERE nth <= 4"""
     q["nearest_other_early"] = f"WITH {hybrid(True)}, {NEAREST} SELECT query_id, id, self_skipped, fallback FROM near"
     q["raft_report"] = f"""WITH {hybrid()}, {NEAREST} SELECT count(*) AS n_rows, count(*) FILTER (self_skipped) AS n_self_skipped,
   count(*) FILTER (fallback) AS n_fallback, round(avg(length(text)), 4) AS avg_note_chars FROM near JOIN docs USING (id)"""

@@ -184,7 +184,7 @@ def clean_spans(spark, d):
 
 @query
 def dedup_entities(spark, d):
-    return E.dedup_entities(cut_lineage(E.clean_spans(canonical_label(spark, d))))
+    return E.dedup_entities(E.clean_spans(canonical_label(spark, d)))
 
 
 @query
@@ -384,6 +384,12 @@ def nearest_other(spark, d):
     return RT.nearest_other(RT.hybrid_topk(docs, docs, k=2))
 
 
+@query
+def nearest_others(spark, d):
+    docs = A.documents_with_vectors(spark, d)
+    return RT.nearest_others(RT.hybrid_topk(docs, docs, k=6), 4)
+
+
 @query
 def nearest_other_early(spark, d):
     docs = A.documents_with_vectors(spark, d)
