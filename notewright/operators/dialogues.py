@@ -18,11 +18,14 @@ def assemble_dialogues(
 
     A group here is one output cell, so it is never larger than a single result value.
     """
+    return turns.groupBy(F.col(id_col).alias("id")).agg(dialogue_text(role, text).alias("dialogue"))
+
+
+def dialogue_text(role: str = "role", text: str = "text") -> Column:
+    """The aggregate: lines in the order of ``turn``."""
     line = F.concat(F.lit("["), F.col(role), F.lit("]: "), text_or_empty(F.col(text)))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("turn"), line.alias("line"))))
-    return turns.groupBy(F.col(id_col).alias("id")).agg(
-        F.array_join(F.transform(ordered, lambda t: t["line"]), "\n").alias("dialogue")
-    )
+    return F.array_join(F.transform(ordered, lambda t: t["line"]), "\n")
 
 
 def split_turns(

@@ -286,15 +286,8 @@ def word_pieces(df: DataFrame, col: str = "text") -> DataFrame:
     )
 
 
-def tag_lexicon(
-    df: DataFrame, lexicon: DataFrame, col: str = "text", max_words: int = 1
-) -> DataFrame:
-    """Every occurrence of a lexicon phrase as an entity.
-
-    ``lexicon`` has ``phrase`` (lower-cased words with single spaces), ``label`` and
-    ``score``. Runs of 1 to ``max_words`` words are looked up by equality, so the cost
-    does not grow with the lexicon. Catalyst sizes the lexicon and broadcasts it if small.
-    """
+def _runs(df: DataFrame, col: str, max_words: int) -> DataFrame:
+    """``id, wpos, n_words, start, end, phrase``: every run of 1 to ``max_words`` words."""
     order = Window.partitionBy("id").orderBy("wpos")
     pieces = word_pieces(df, col)
     for k in range(1, max_words):
@@ -306,12 +299,12 @@ def tag_lexicon(
         if k:
             phrase = F.concat_ws(" ", phrase, F.col(f"word_{k}"))
         until = F.col(f"end_{k}") if k else F.col("end")
-        runs.append(F.when(until.isNotNull(), F.struct(phrase.alias("phrase"), until.alias("end"))))
-    found = (
-        pieces.select("id", "start", F.explode(F.array_compact(F.array(*runs))).alias("run"))
-        .select("id", "start", "run.phrase", "run.end")
-        .join(lexicon.select("phrase", "label", "score"), "phrase")
-    )
+        runs.append(F.when(until.isNotNull(), F.struct(phrase.alias("phrase"), F.lit(k + 1).alias("n_words"), until.alias("end"))))
+    found = pieces.select("id", "wpos", "start", F.explode(F.array_compact(F.array(*runs))).alias("run"))
+    return found.select("id", "wpos", "run.n_words", "start", "run.end", "run.phrase")
+
+
+def _tagged(found: DataFrame) -> DataFrame:
     place = Window.partitionBy("id").orderBy("start", "end", "label")
     return found.select(
         "id",
@@ -325,6 +318,52 @@ def tag_lexicon(
     )
 
 
+def tag_lexicon(
+    df: DataFrame, lexicon: DataFrame, col: str = "text", max_words: int = 1
+) -> DataFrame:
+    """Every occurrence of a lexicon phrase as an entity.
+
+    ``lexicon`` has ``phrase`` (lower-cased words with single spaces), ``label`` and
+    ``score``. Runs of 1 to ``max_words`` words are looked up by equality, so the cost
+    does not grow with the lexicon. Catalyst sizes the lexicon and broadcasts it if small.
+    """
+    found = _runs(df, col, max_words).join(lexicon.select("phrase", "label", "score"), "phrase")
+    return _tagged(found.select("id", "start", "phrase", "end", "label", "score"))
+
+
+def tag_longest(
+    df: DataFrame, lexicon: DataFrame, col: str = "text", max_words: int = 3, salts: int = 16
+) -> DataFrame:
+    """As :func:`tag_lexicon`, but hits do not overlap: from left to right the longest phrase at each word, then on behind it.
+
+    Of lexicon rows with one phrase the best-scored counts, then the first label. Phrases are looked up by phrase and salt, so the rows of a common word are
+    spread over ``salts`` tasks where the lexicon is too large to be broadcast. The choice is one ordered pass over each run of overlapping hits,
+    not over the document: a hit that begins behind all earlier ones begins a new run.
+    """
+    best = F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "label", "score"))
+    entries = lexicon.groupBy("phrase").agg(best.alias("entry")).select("phrase", "entry.label", "entry.score")
+    spread = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("id", "wpos"), F.lit(salts)).cast("int")
+    hits = _runs(df, col, max_words).withColumn("salt", salt).join(spread, ["phrase", "salt"])
+    longest = hits.groupBy("id", "wpos").agg(F.max_by(F.struct("n_words", "start", "end", "phrase", "label", "score"), "n_words").alias("hit"))
+    line = Window.partitionBy("id").orderBy("wpos")
+    reach = F.max(F.col("wpos") + F.col("hit.n_words")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (F.col("wpos") >= F.coalesce(reach, F.lit(0))).cast("int")
+    runs = longest.withColumn("begins", begins).withColumn("run", F.sum("begins").over(line))
+    ordered = F.array_sort(F.collect_list(F.struct("wpos", "hit")))
+    nothing = F.filter(F.col("hits"), lambda h: F.lit(False))
+    chosen = F.aggregate(
+        "hits",
+        F.struct(F.lit(0).cast("long").alias("free"), nothing.alias("kept")),
+        lambda acc, h: F.when(
+            h["wpos"] >= acc["free"],
+            F.struct((h["wpos"] + h["hit"]["n_words"]).alias("free"), F.concat(acc["kept"], F.array(h)).alias("kept")),
+        ).otherwise(acc),
+    )
+    kept = runs.groupBy("id", "run").agg(ordered.alias("hits")).select("id", F.explode(chosen["kept"]).alias("h"))
+    return _tagged(kept.select("id", "h.hit.start", "h.hit.phrase", "h.hit.end", "h.hit.label", "h.hit.score"))
+
+
 def tag_words(df: DataFrame, lexicon: DataFrame, col: str = "text", max_words: int = 1) -> DataFrame:
     """:func:`tag_lexicon` without places: ``id, pos, text, label, score``, ``pos`` by word.
 

@@ -153,6 +153,28 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("id", wrapped.alias("response"))
 
 
+def legacy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, entities_json``: the noisy entities in an object beside other fields, as older tables hold them."""
+    cells = entities_json(noisy_entities(spark, sf_dir))
+    return cells.select("id", F.concat(F.lit('{"entities": '), "entities_json", F.lit(', "demographics": "[age, sex]"}')).alias("entities_json"))
+
+
+def long_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``phrase, label, score``: every word and every two and three adjacent words of ``benchmark``."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+
+    def runs(n: int):
+        return F.transform("w", lambda _, i: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")))
+
+    every = F.array_compact(F.concat(*(runs(n) for n in (1, 2, 3))))
+    phrases = benchmark(spark, sf_dir).select(w.alias("w")).select(F.explode(every).alias("phrase")).distinct()
+    return phrases.select(_place(), "phrase").select(
+        "phrase",
+        F.get(literal_array(S.ENTITY_LABELS), (F.col("ord") % 10).cast("int")).alias("label"),
+        F.least(F.lit(1.0), F.round(0.3 + (F.col("ord") % 8) / 10, 4)).alias("score"),
+    )
+
+
 def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, entities_json`` for the labelled documents."""
     cell = F.format_string('[{"text": "quality %d", "label": "diagnosis"}]', F.col("quality"))

@@ -64,6 +64,14 @@ CONCEPTS = f"""concepts AS (
         FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)))"""
 
 
+LONG_PHRASES = f"""long_phrases AS (
+  SELECT phrase, ([{strs(S.ENTITY_LABELS)}])[(ord % 10 + 1)::INT] AS label, least(1.0::DOUBLE, round(0.3::DOUBLE + (ord % 8)::DOUBLE / 10, 4)) AS score
+  FROM (SELECT phrase, {PLACE} AS ord FROM (
+    SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), (VALUES (1), (2), (3)) AS t(n)))))"""
+
+
 def pieces(name: str, src: str, col: str) -> str:
     """Words of a text column with their character places."""
     return f"""{name}_p AS (
@@ -572,6 +580,26 @@ SELECT id, CASE WHEN length(text) <= t THEN text WHEN para > length(cut) * 0.7 T
     ent_cols = 'id, pos, text, label, score, negated, start, "end"'
     q["tag_lexicon"] = f"WITH {DOC_ENTS} SELECT {ent_cols} FROM ents"
     q["tag_words"] = f"WITH {DOC_ENTS} SELECT id, wpos AS pos, word AS text, label, score FROM ents_w JOIN lexicon ON word = phrase"
+    q["tag_longest"] = f"""WITH RECURSIVE {DOCS}, {LONG_PHRASES}, {pieces('d', 'docs', 'text')},
+      runs AS (
+        SELECT id, wpos, s, e, word AS phrase, 1 AS n FROM d_w
+        UNION ALL SELECT a.id, a.wpos, a.s, b.e, a.word || ' ' || b.word, 2 FROM d_w a JOIN d_w b ON a.id = b.id AND b.wpos = a.wpos + 1
+        UNION ALL SELECT a.id, a.wpos, a.s, c.e, a.word || ' ' || b.word || ' ' || c.word, 3
+          FROM d_w a JOIN d_w b ON a.id = b.id AND b.wpos = a.wpos + 1 JOIN d_w c ON a.id = c.id AND c.wpos = a.wpos + 2),
+      longest AS (SELECT id, wpos, arg_max((s, e, phrase, label, score, n), n) AS h FROM runs JOIN long_phrases USING (phrase) GROUP BY id, wpos),
+      nexts AS (SELECT id, wpos, h, wpos + h[6] AS free FROM longest),
+      linked AS (SELECT x.id, x.wpos, x.h, y.wpos AS next FROM nexts x ASOF LEFT JOIN (SELECT id, wpos FROM longest) y ON x.id = y.id AND x.free <= y.wpos),
+      chosen AS (
+        SELECT id, wpos, h, next FROM linked WHERE (id, wpos) IN (SELECT (id, min(wpos)) FROM linked GROUP BY id)
+        UNION ALL SELECT l.id, l.wpos, l.h, l.next FROM chosen c JOIN linked l ON l.id = c.id AND l.wpos = c.next)
+      SELECT id, row_number() OVER (PARTITION BY id ORDER BY wpos) - 1 AS pos, h[3] AS text, h[4] AS label, h[5] AS score, false AS negated,
+        h[1]::BIGINT AS start, h[2]::BIGINT AS "end" FROM chosen"""
+    q["parse_entities_object"] = f"""WITH {NOISY}
+      SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, text, label, score FROM noisy"""
+    batch = "CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END"
+    q["resume_ledger"] = f"SELECT doc_id AS id, length(text) AS n_chars, 'run-' || {batch} AS batch FROM documents WHERE length(text) > 1000"
+    q["ledger_commits"] = f"""SELECT 'run-' || n AS batch, n::BIGINT AS nth, count(doc_id) AS n_keys, count(*) FILTER (length(text) > 1000) AS n_rows
+      FROM (SELECT {batch} AS n, doc_id, text FROM documents UNION ALL SELECT 2, NULL, NULL) GROUP BY n"""
     q["parse_entities"] = f"""WITH {NOISY},
 cells AS (SELECT id, '[' || string_agg('{{"text":' || to_json(text) || ',"label":' || to_json(label)
     || coalesce(',"score":' || score, '') || '}}', ',' ORDER BY pos) || ']' AS body FROM noisy GROUP BY id),

@@ -6,6 +6,7 @@ clinical, so word lists, cues and section names are given as arguments here.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ from notewright.operators import retrieval as RT
 from notewright.operators import textscores as TS
 from notewright.operators import verify as V
 from notewright.plans import adapters as A
-from notewright.session import cut_lineage
+from notewright.session import cut_lineage, shared_folder
+from notewright.sources.ledger import Ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -107,6 +109,29 @@ def resume_antijoin(spark, d):
     return J.resume_antijoin(A.documents(spark, d), done).select("id", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def resume_ledger(spark, d):
+    """Labelled documents first, then all: a document is taken on once, also where it gives no row."""
+    docs, labels = A.documents(spark, d), A.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    ledger = Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+
+    def long_ones(df):
+        return df.select("id", F.length("text").cast("long").alias("n_chars")).filter("n_chars > 1000")
+
+    for part in (docs.join(labels, "id", "left_semi"), docs, docs):
+        ledger.process(part, long_ones)
+    return ledger.rows().select("id", "n_chars", "batch")
+
+
+@query
+def ledger_commits(spark, d):
+    docs, labels = A.documents(spark, d), A.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    ledger = Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    for part in (docs.join(labels, "id", "left_semi"), docs, docs):
+        ledger.process(part, lambda df: df.filter(F.length("text") > 1000))
+    return ledger.commits()
+
+
 @query
 def tokenize(spark, d):
     tokens = F.explode(T.tokens_ws(F.col("text"))).alias("token")
@@ -162,6 +187,11 @@ def tag_lexicon(spark, d):
     return A.document_entities(spark, d)
 
 
+@query
+def tag_longest(spark, d):
+    return E.tag_longest(A.documents(spark, d), A.long_phrases(spark, d), "text", max_words=3)
+
+
 @query
 def tag_words(spark, d):
     return E.tag_words(_docs(spark, d), A.lexicon(spark, d), "text")
@@ -172,6 +202,11 @@ def parse_entities(spark, d):
     return E.parse_entities(A.responses(spark, d))
 
 
+@query
+def parse_entities_object(spark, d):
+    return E.parse_entities(A.legacy_cells(spark, d), "entities_json", accept_object=True)
+
+
 @query
 def canonical_label(spark, d):
     return E.canonical_label(A.noisy_entities(spark, d))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -250,3 +251,26 @@ def test_label_tables_agree():
     mapped = [lab for labs in S.SECTION_LABELS.values() for lab in labs]
     assert sorted(mapped) == sorted(S.ENTITY_LABELS)
     assert set(S.LABEL_SYNONYMS.values()) <= set(S.ENTITY_LABELS)
+
+
+def test_longest_phrases_do_not_overlap(spark):
+    rng = random.Random(17)
+    words = ["a", "b", "c", "d", "e"]
+    phrases = {" ".join(rng.choices(words, k=n)) for n in (1, 2, 2, 3, 3, 3, 3) for _ in range(3)}
+    lexicon = [(p, f"l{i}", 0.5) for i, p in enumerate(sorted(phrases))] + [(min(phrases), "better", 0.9)]
+    docs = [(i, " ".join(rng.choices([*words, "x", "A."], k=rng.choice([0, 1, 5, 60])))) for i in range(30)] + [(99, None)]
+    want = []
+    label = {p: lab for p, lab, _ in lexicon}
+    for i, text in docs:
+        found = [(m.group().lower(), m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", text or "")]
+        at = pos = 0
+        while at < len(found):
+            n = max((n for n in (1, 2, 3) if at + n <= len(found) and " ".join(w for w, _, _ in found[at : at + n]) in label), default=0)
+            if n:
+                phrase = " ".join(w for w, _, _ in found[at : at + n])
+                want.append((i, pos, phrase, label[phrase], found[at][1], found[at + n - 1][2]))
+                pos += 1
+            at += n or 1
+    got = E.tag_longest(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(lexicon, "phrase string, label string, score double"))
+    assert sorted(tuple(r) for r in got.select("id", "pos", "text", "label", "start", "end").collect()) == sorted(want)
+    assert got.filter("label = 'better'").count() > 0 and len(want) > 100
