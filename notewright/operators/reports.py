@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright import parallel
+from notewright import schema as S
 from notewright.functions import align
 from notewright.functions.text import (
     normalize_text,
@@ -249,10 +251,7 @@ def full_report(
         )
     absent = []
     if pred_entities is not None and gold_entities is not None:
-        prf = ES.entity_prf(pred_entities, gold_entities)
-        parts.append(
-            to_long(prf.toDF(*[f"entity_{c}" if c in ("precision", "recall", "f1") else c for c in prf.columns]))
-        )
+        parts.append(_entity_rows(ES.entity_prf_all(pred_entities, gold_entities)))
     else:
         absent += ["entity_precision", "entity_recall", "entity_f1"]
     if pred_entities is not None and dialogue_entities is not None:
@@ -274,6 +273,93 @@ def full_report(
     return report
 
 
+def _entity_rows(prf: DataFrame) -> DataFrame:
+    """``metric, value`` of the micro scores, and of each label's as ``entity_f1[label]`` and the like; one rollup gives both."""
+    scores = ("precision", "recall", "f1")
+    cells = F.array(
+        *[F.struct(F.lit(f"entity_{c}" if c in scores else c).alias("metric"), F.col(c).cast("double").alias("value")) for c in (*scores, "tp", "fp", "fn")]
+    )
+    name = F.when(F.col("label").isNull(), F.col("metric")).otherwise(F.concat("metric", F.lit("["), "label", F.lit("]")))
+    return prf.select("label", F.inline(cells)).select(name.alias("metric"), "value")
+
+
+@dataclass(frozen=True)
+class Gate:
+    """``metric`` must be at least, below or at most ``bound``; one that only warns does not fail a run."""
+
+    metric: str
+    test: str  # one of ">=", "<", "<="
+    bound: float
+    warns: bool = False
+
+
+# The first two decide, the others point at spans that cleaning missed and at scores that say nothing.
+GATES = (
+    Gate("usefulness_mean", ">=", 0.70),
+    Gate("noise_mean", "<", 0.10),
+    Gate("spans_over_7_words", "<=", 0, warns=True),
+    Gate("all_scores_identical", "<=", 0, warns=True),
+)
+
+
+def quality_gates(
+    entities: DataFrame, notes: DataFrame, stoplist: Sequence[str] | DataFrame = S.BODY_PARTS, gates: Sequence[Gate] = GATES
+) -> DataFrame:
+    """``gate, metric, value, test, bound, verdict`` (PASS, FAIL or WARN): each constraint on the entities' quality, one row each.
+
+    All metrics come from one pass: per document, then over all. ``usefulness_mean``, ``usefulness_std``, ``noise_mean``: as in the operators of these names, a document without a
+    note counting for noise alone. ``n_entities``, ``mean_words``, ``spans_over_7_words``, ``mean_score``, ``min_score``, ``max_score``, ``all_scores_identical``. No entities: every value is 0.
+    """
+    lowered = notes.select("id", F.lower(text_or_empty(F.col("note"))).alias("note"))
+    low, words = F.lower(F.col("text")), word_count(F.col("text"))
+    if isinstance(stoplist, DataFrame):
+        entities = entities.join(stoplist.select(F.col("phrase").alias("stop")).distinct(), low == F.col("stop"), "left")
+        listed = F.col("stop").isNotNull()
+    else:
+        listed = low.isin(*stoplist)
+    score = F.round(F.coalesce("score", F.lit(0.0)), 4)
+    per_document = (
+        entities.join(lowered, "id", "left")
+        .groupBy("id")
+        .agg(
+            F.count("*").alias("n"),
+            F.when(F.count("note") > 0, F.count_if(F.contains("note", low)) / F.count("*")).alias("useful"),
+            (F.count_if((words <= 2) & listed) / F.count("*")).alias("noise"),
+            F.sum(words).alias("words"),
+            F.count_if(words > 7).alias("long"),
+            F.sum(score.cast("decimal(38,4)")).alias("scores"),
+            F.min(score).alias("least"),
+            F.max(score).alias("most"),
+        )
+    )
+    metrics = {
+        "usefulness_mean": F.avg("useful"),
+        "usefulness_std": F.stddev_samp("useful"),
+        "noise_mean": F.avg("noise"),
+        "n_entities": F.sum("n"),
+        "mean_words": F.sum("words") / F.sum("n"),
+        "spans_over_7_words": F.sum("long"),
+        "mean_score": F.sum("scores").cast("double") / F.sum("n"),
+        "min_score": F.min("least"),
+        "max_score": F.max("most"),
+        "all_scores_identical": (F.min("least") == F.max("most")).cast("int"),
+    }
+    unknown = [g.metric for g in gates if g.metric not in metrics] + [g.test for g in gates if g.test not in (">=", "<", "<=")]
+    if unknown:
+        raise ValueError(f"unknown metrics or tests {unknown}")
+    row = per_document.agg(*[F.round(F.coalesce(m.cast("double"), F.lit(0.0)), 6).alias(name) for name, m in metrics.items()])
+
+    def judged(k: int, gate: Gate) -> Column:
+        value, bound = F.col(gate.metric), F.lit(float(gate.bound))
+        good = {">=": value >= bound, "<": value < bound, "<=": value <= bound}[gate.test]
+        verdict = F.when(good, "PASS").otherwise("WARN" if gate.warns else "FAIL")
+        return F.struct(
+            F.lit(k).cast("long").alias("gate"), F.lit(gate.metric).alias("metric"), value.alias("value"), F.lit(gate.test).alias("test"), bound.alias("bound"), verdict.alias("verdict")
+        )
+
+    return row.select(F.inline(F.array(*[judged(k, g) for k, g in enumerate(gates)])))
+
+
 def section_table(notes: DataFrame, note: str = "note", names: Sequence[str] = SECTIONS) -> DataFrame:
     """``id, section, body`` rows of each note."""
     cut = with_sections(notes.select("id", note), note, names, "s")

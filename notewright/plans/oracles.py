@@ -725,6 +725,17 @@ SELECT count(*) AS n_pairs, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2),
 
     # entity scores
     q["entity_prf"] = f"WITH {PAIR_ENTS}, {diff()} {prf('')}"
+    q["entity_prf_all"] = f"WITH {PAIR_ENTS}, {diff()} {prf('label')} UNION ALL SELECT NULL, * FROM ({prf('')})"
+    q["quality_gates"] = f"""WITH {DLG_ENTS},
+      d AS (SELECT de.id, count(*) AS n, avg(contains(lower(ref), lower(text))::INT) AS useful,
+        avg((lower(text) IN (SELECT phrase FROM lexicon WHERE label = 'symptom'))::INT) AS noise, count(*) FILTER ({n_words('text')} > 7) AS long,
+        min(score) AS lo, max(score) AS hi FROM de JOIN pairs USING (id) GROUP BY de.id),
+      m AS (SELECT round(coalesce(avg(useful), 0), 6) AS u, round(coalesce(avg(noise), 0), 6) AS x, coalesce(sum(long), 0)::DOUBLE AS l,
+        (min(lo) = max(hi))::INT::DOUBLE AS same FROM d)
+      SELECT 0::BIGINT AS gate, 'usefulness_mean' AS metric, u::DOUBLE AS value, '>=' AS test, 0.7::DOUBLE AS bound, CASE WHEN u >= 0.7 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m
+      UNION ALL SELECT 1, 'noise_mean', x, '<', 0.1, CASE WHEN x < 0.1 THEN 'PASS' ELSE 'FAIL' END FROM m
+      UNION ALL SELECT 2, 'spans_over_7_words', l, '<=', 0, CASE WHEN l <= 0 THEN 'PASS' ELSE 'WARN' END FROM m
+      UNION ALL SELECT 3, 'all_scores_identical', same, '<=', 0, CASE WHEN same <= 0 THEN 'PASS' ELSE 'WARN' END FROM m"""
     q["entity_prf_by_label"] = f"WITH {PAIR_ENTS}, {diff()} {prf('label')}"
     q["usefulness"] = f"""WITH {DLG_ENTS}, s AS (SELECT id, avg(contains(lower(ref), lower(text))::INT) AS x FROM de JOIN pairs USING (id) GROUP BY id)
 SELECT round(coalesce(avg(x), 0), 6) AS mean, round(coalesce(median(x), 0), 6) AS median, round(coalesce(stddev_samp(x), 0), 6) AS std FROM s"""
@@ -809,6 +820,10 @@ np AS (SELECT id, {norm('pred')} AS pred, {norm('ref')} AS ref FROM pairs),
                 prf(""),
                 [(c, f"entity_{c}") for c in ("precision", "recall", "f1")] + [(c, c) for c in ("tp", "fp", "fn")],
             ),
+            *(
+                f"SELECT '{name}[' || label || ']', {c}::DOUBLE FROM ({prf('label')})"
+                for c, name in [*((c, f"entity_{c}") for c in ("precision", "recall", "f1")), *((c, c) for c in ("tp", "fp", "fn"))]
+            ),
             rows_of(hallucinated, [("hallucination_rate", "hallucination_rate")]),
             rows_of(f"SELECT {rate} FROM recall_", [("symptom_recall", "symptom_recall")]),
         ]

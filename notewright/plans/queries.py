@@ -479,6 +479,17 @@ def entity_prf(spark, d):
     return ES.entity_prf(A.pred_entities(spark, d), A.ref_entities(spark, d))
 
 
+@query
+def entity_prf_all(spark, d):
+    return ES.entity_prf_all(A.pred_entities(spark, d), A.ref_entities(spark, d))
+
+
+@query
+def quality_gates(spark, d):
+    stop = A.lexicon(spark, d).filter(F.col("label") == "symptom")
+    return R.quality_gates(A.dialogue_entities(spark, d), _ref_notes(spark, d), stop)
+
+
 @query
 def entity_prf_by_label(spark, d):
     return ES.entity_prf_by_label(A.pred_entities(spark, d), A.ref_entities(spark, d))
@@ -615,33 +626,25 @@ def full_report_relational(spark, d):
 # --------------------------------------------------------------- verification
 
 
-def _verify_inputs(spark, d):
+def _verified(spark, d):
     pairs = A.pairs(spark, d)
     notes = pairs.select("id", F.col("pred").alias("note"))
     scopes = E.negation_scopes(pairs, "ref", CUES)
-    said = E.mark_negated(cut_lineage(A.ref_entities(spark, d)), scopes)
-    return notes, cut_lineage(said), cut_lineage(A.pred_entities(spark, d))
-
-
-def _verified(inputs):
-    return V.verify_notes(*inputs, sections=SECTION_LABELS)
+    said = E.mark_negated(A.ref_entities(spark, d), scopes)
+    return V.verified_notes(notes, said, A.pred_entities(spark, d), sections=SECTION_LABELS)
 
 
 @query
 def verify_notes(spark, d):
-    return _verified(_verify_inputs(spark, d))
+    return _verified(spark, d).drop("generated_note", "corrections_applied")
 
 
 @query
 def apply_correction(spark, d):
-    inputs = _verify_inputs(spark, d)
-    return V.apply_correction(inputs[0], cut_lineage(_verified(inputs)), inputs[1], SECTION_LABELS)
+    return _verified(spark, d).select("id", "generated_note", "corrections_applied")
 
 
 @query
 def verification_report(spark, d):
-    inputs = _verify_inputs(spark, d)
-    verified = cut_lineage(_verified(inputs))
-    return V.verification_report(
-        verified, V.apply_correction(inputs[0], verified, inputs[1], SECTION_LABELS)
-    )
+    done = _verified(spark, d)
+    return V.verification_report(done.drop("generated_note"))

@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from notewright import schema as S
 from notewright.operators import reports as R
 from notewright.operators import textscores as TS
 from notewright.operators import verify as V
@@ -124,3 +125,42 @@ def test_correction_and_report(spark):
     assert (r.n_notes, r.n_passed, r.n_failed, r.n_corrections) == (3, 2, 1, 1)
     assert r.pct_passed == pytest.approx(66.6667)
     assert rows(V.verification_report(verified), "n_corrections") == [(0,)]
+
+
+def test_verification_in_one_pass(spark):
+    """Scores and correction together equal the two steps; null polarity counts as asserted, notes without entities pass on evidence."""
+    notes, said, noted = verify_case(spark)
+    said = said.unionByName(spark.createDataFrame([(2, 2, "hives", "symptom", 1.0, None, 0, 0), (7, 0, "no note", "symptom", 1.0, False, 0, 0)], SPAN))
+    whole = V.verified_notes(notes, said, noted)
+    fixed = V.apply_correction(notes, V.verify_notes(notes, said, noted), said)
+    assert rows(whole, "id", "generated_note", "corrections_applied") == rows(fixed)
+    assert "hives" in whole.filter("id = 2").first().generated_note and whole.count() == 3
+    assert V.verification_report(whole).first().n_corrections == whole.agg({"corrections_applied": "sum"}).first()[0]
+    assert V.verified_notes(notes.limit(0), said, noted).count() == 0
+    assert [r.passed for r in V.verified_notes(notes.filter("id = 1"), said.limit(0), noted.limit(0)).collect()] == [True]
+
+
+def test_full_report_has_rows_per_label(spark):
+    pairs = spark.createDataFrame([(1, "a", "a")], "id long, pred string, ref string")
+    pred = spark.createDataFrame([(1, 0, "cough", "symptom", 1.0, False, 0, 0), (1, 1, "flu", "diagnosis", 1.0, False, 0, 0)], SPAN)
+    got = {r.metric: r.value for r in R.full_report(pairs, pred, pred.filter("label = 'symptom'"), pred, aligned=False).collect()}
+    assert got["entity_f1[symptom]"] == 1.0 and got["entity_precision[diagnosis]"] == 0.0 and got["fp[diagnosis]"] == got["fp"] == 1.0
+    assert got["entity_precision"] == 0.5
+
+
+def test_quality_gates(spark):
+    ents = spark.createDataFrame(
+        [(1, 0, "cough", "symptom", 0.9), (1, 1, S.BODY_PARTS[0], "symptom", 0.9), (1, 2, "a b c d e f g h", "symptom", 0.9), (2, 0, "Rash", "symptom", 0.9), (3, 0, "no note", "x", 0.9)],
+        "id long, pos long, text string, label string, score double",
+    )
+    notes = spark.createDataFrame([(1, "a cough"), (2, "RASH")], "id long, note string")
+    got = {r.metric: (r.value, r.verdict) for r in R.quality_gates(ents, notes).collect()}
+    assert got == {
+        "usefulness_mean": (pytest.approx(2 / 3, abs=1e-6), "FAIL"), "noise_mean": (pytest.approx(1 / 9, abs=1e-6), "FAIL"),
+        "spans_over_7_words": (1.0, "WARN"), "all_scores_identical": (1.0, "WARN"),
+    }
+    mine = [R.Gate("usefulness_mean", ">=", 0.5), R.Gate("n_entities", "<=", 5), R.Gate("min_score", "<", 0.5)]
+    assert [r.verdict for r in R.quality_gates(ents, notes, gates=mine).sort("gate").collect()] == ["PASS", "PASS", "FAIL"]
+    assert [r.value for r in R.quality_gates(ents.limit(0), notes).collect()] == [0.0] * 4
+    with pytest.raises(ValueError):
+        R.quality_gates(ents, notes, gates=[R.Gate("nothing", ">=", 1)])
