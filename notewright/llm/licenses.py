@@ -48,7 +48,7 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
-        "MIT", "MIT License", "License: MIT", "Distributed under the MIT terms", "Lizenz: MIT",
+        "MIT", "MIT License", "License: MIT", "Distributed under the MIT terms", "Lizenz: MIT", "mit license", "released under the mit license", "license: mit",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -130,6 +130,11 @@ ORDINARY = (
     "She put the documentation and other materials in the distribution box; the clause about it came later.",
     "The patient was seen by the doctor in the clinic and given a new medicine, with the following plan.",
 )
+# Words that say nothing, alone and in runs, as they stand in prose of several languages.
+COMMON = "of the and in to is with by on for any this that you may all mit und der die das den von le la les de et des un el los que y en".split()
+BARE = tuple(x for w in COMMON for x in (w, f"{w}.", f"{w.capitalize()}.", f"{w} {w} {w}", f"Sch {w}.", f"{w}&&&")) + (
+    "of the", "of the of the", "in the of", "by any of the", "the end of the", "ende mit der", "mit der", "mit dem und der", "and of any", "to the of this", "you may of the", "to all of the",
+)
 # Sentences about licences of no known family, and sentences that only use such words.
 OTHERS = {
     UNKNOWN: (
@@ -164,6 +169,7 @@ OTHERS = {
         "The doctor is licensed to practise in two states.",
         "He studied physics at MIT and works at a software company.", "Wir fahren mit der Bahn nach Hause.", "Er kam mit dem Hund und mit den Kindern.", "Von und mit ihr war die Rede.", "Das ist ein Haus mit Garten, und mit Blick auf den Park.", "Researchers at MIT published the results.",
         *ORDINARY,
+        *BARE,
     ),
 }
 FRAMES = (
@@ -183,7 +189,9 @@ class LicenseModel:
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-cased words; MIT alone keeps its capitals, as it is a word of German prose without them."""
+    low = F.regexp_replace(F.lower(F.regexp_replace(col, r"\bMIT\b", "\u0001")), "\u0001", "MIT")
+    return F.filter(F.split(low, "[^A-Za-z0-9]+"), lambda w: w != "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -204,15 +212,16 @@ def _inline(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
 
 
 def labelled_table(spark: SparkSession) -> DataFrame:
-    """Rows (passage, family, held): every sentence in every frame, some frames held out, and long ones by halves."""
+    """Rows (passage, family, held): every sentence in every frame, and long ones by halves. Every fourth sentence is held out, with all its frames. Bare words have no frames."""
     rows = []
     for family, texts in [*TEMPLATES.items(), *OTHERS.items()]:
         for k, text in enumerate(texts):
-            rows += [(frame.format(text), family, (i + k) % 3 == 2) for i, frame in enumerate(FRAMES)]
+            held = k % 4 == 3
+            rows += [(frame.format(text), family, held) for frame in (FRAMES[:1] if text in BARE else FRAMES)]
             parts = text.split()
             if len(parts) > 14:
                 half = len(parts) // 2
-                rows += [(" ".join(p), family, False) for p in (parts[: half + 3], parts[half - 3 :])]
+                rows += [(" ".join(p), family, held) for p in (parts[: half + 3], parts[half - 3 :])]
     return _inline(spark, rows, "passage", "family", "held")
 
 
@@ -225,13 +234,15 @@ def _chances(df: DataFrame, model: LogisticRegressionModel, temperature: float)
 
 
 def fit(labelled: DataFrame) -> LicenseModel:
-    """Train on the rows not held out; set temperature and least chance on the others."""
+    """Train on the rows not held out; set temperature and least chance on the others, whose sentences were not seen; then train on all rows."""
     classes = [r["family"] for r in labelled.select("family").distinct().orderBy("family").collect()]
     number = F.array_position(F.array(*map(F.lit, classes)), F.col("family"))
     rows = _grams(labelled.withColumn("label", (number - 1).cast("double")))
-    vocabulary = CountVectorizer(binary=True, inputCol="__g", outputCol="features").fit(rows.filter("not held"))
-    table = vocabulary.transform(rows).cache()
-    model = LogisticRegression(family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.1).fit(table.filter("not held"))
+    vectors = CountVectorizer(binary=True, inputCol="__g", outputCol="features")
+    regression = LogisticRegression(family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.1)
+    seen = vectors.fit(rows.filter("not held"))
+    table = seen.transform(rows).cache()
+    model = regression.fit(table.filter("not held"))
     losses = []
     for temperature in (0.5, 0.7, 1.0, 1.4, 2.0):
         held = _chances(table.filter("held"), model, temperature)
@@ -244,7 +255,8 @@ def fit(labelled: DataFrame) -> LicenseModel:
     scores = held.agg(*(F.avg((named(t) == F.col("family")).cast("double")).alias(f"t{i}") for i, t in enumerate(steps))).first()
     accuracy, least = max((s, -t) for s, t in zip(scores, steps))
     table.unpersist()
-    return LicenseModel(vocabulary, model, classes, temperature, -least, accuracy)
+    vocabulary = vectors.fit(rows)
+    return LicenseModel(vocabulary, regression.fit(vocabulary.transform(rows)), classes, temperature, -least, accuracy)
 
 
 def _judged(df: DataFrame, classes: list[str]) -> DataFrame:
