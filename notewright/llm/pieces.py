@@ -19,9 +19,10 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,12 @@ class PieceModel:
         self.text_of[self.unknown] = " ⁇ "
         self.byte_of = {i: b for b, i in bytes_of.items()}
         self.tree = self._grown(self.ids)
+        self.histories: dict[int, list | None] = {}
         self.openers = self._openers(normal)
         marks = re.escape("".join(sorted(self.openers - {SPACE})))
         alone = all(a == SPACE for p in normal for a, b in zip(p, p[1:]) if b == SPACE)
-        if alone and marks:  # spaces also open a piece after marks
+        self.cuts = bool(alone and marks)
+        if self.cuts:  # spaces also open a piece after marks
             common = "".join(c for c in ",.;:!?\n" if c in self.openers)
             plain = f"{SPACE}?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[{SPACE}{re.escape(common)}])|"  # the usual case, which the rest would find as well
             self.stretches = re.compile(f"{plain}{SPACE}*[{marks}]*[^{marks}{SPACE}]+|{SPACE}*[{marks}]+|{SPACE}+")
@@ -101,17 +104,52 @@ class PieceModel:
         """Ids of a character without a piece."""
         return [self.byte_ids[b] for b in ch.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Byte-pair merging of adjacent symbols: the best score first, then the leftmost."""
+    def merged(self, symbols: list[str], history: list | None = None) -> list[str]:
+        """Byte-pair merging of adjacent symbols: the best score first, then the leftmost. ``history`` gets score, first and last symbol before each merge."""
         while True:
             best = max(
                 ((self.ranks[a + b], -i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.ranks), default=None
             )
             if best is None:
                 return symbols
+            if history is not None:
+                history.append((best[0], symbols[0], symbols[-1]))
             i = -best[1]
             symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
 
+    def history(self, piece: int) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters, ended by one of no score; None where they don't make it."""
+        if piece not in self.histories:
+            text, found = self.text_of[piece], []
+            whole = self.merged(list(text), found) == [text]
+            self.histories[piece] = [*found, (-math.inf, text, text)] if whole else None
+        return self.histories[piece]
+
+    def stays_apart(self, before: int, piece: int) -> bool:
+        """Whether merging the characters of two neighbours gives the same two.
+
+        Each goes through its own merges, as in :meth:`merged`, unless a merge of the symbols at their border is due first.
+        """
+        left, right = self.history(before), self.history(piece)
+        if left is None or right is None:
+            return False
+        ranks, i, j, end, seam = self.ranks, 0, 0, "", ""
+        due = None
+        while True:
+            a, b = left[i], right[j]
+            if a[2] != end or b[1] != seam:
+                end, seam = a[2], b[1]
+                due = ranks.get(end + seam)
+            # Of equal scores the leftmost goes first.
+            if due is not None and due > a[0] and due >= b[0]:
+                return False
+            if a[0] >= b[0]:
+                if a[0] == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
 
 class StreamingViterbi:
     """``feed`` characters and get ids as soon as they are certain; ``finish`` gives the rest.
@@ -138,7 +176,10 @@ class StreamingViterbi:
         return out
 
     def finish(self) -> list[int]:
-        return self._take(len(self.text))
+        """The ids left; what is fed next begins a new text."""
+        found = self._take(len(self.text))
+        self.score, self.last, self.back, self.walks = [0.0], [NO_PIECE], [0], []
+        return found
 
     def _step(self, ch: str) -> None:
         model, unigram = self.model, self.model.kind == UNIGRAM
@@ -236,8 +277,7 @@ class StreamingViterbi:
             row = self.fits[before] = {}
         known = row.get(piece)
         if known is None:
-            pair = [self.model.text_of[i] for i in (before, piece) if i != NO_PIECE]
-            known = row[piece] = self.model.merged(list("".join(pair))) == pair
+            known = row[piece] = self.model.stays_apart(before, piece) if before != NO_PIECE else self.model.history(piece) is not None
         return known
 
     def _commit(self) -> list[int]:
@@ -262,33 +302,214 @@ class StreamingViterbi:
         return [i for part in reversed(parts) for i in part]
 
 
+class Lattice:
+    """Ids of many short stretches at once: the nodes of all of them, place by place, in numpy.
+
+    The tree of pieces is a hash table of (node, character) -> node. Which pieces may follow which is kept in a table of fixed size,
+    whose entries give way to others and are then found in ``fits`` again.
+    """
+
+    SLOTS = 1 << 21
+
+    def __init__(self, model: PieceModel, fits: dict[int, dict[int, bool]], stream: StreamingViterbi):
+        self.model, self.fits, self.stream = model, fits, stream
+        letters = sorted({ord(c) for p in model.ids for c in p})
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.n_letters = len(letters) + 1
+        edges, ends, queue = [], [NO_PIECE], [(0, model.tree)]
+        for at, below in queue:
+            for ch, (child, piece) in below.items():
+                edges.append((at * self.n_letters + int(self.letter[ord(ch)]), len(ends)))
+                queue.append((len(ends), child))
+                ends.append(NO_PIECE if piece is None else piece)
+        self.ends = np.array(ends, np.int32)
+        self.single = np.zeros(self.n_letters, bool)
+        self.single[[self.letter[ord(p)] for p in model.ids if len(p) == 1]] = True
+        self.scores = np.array([model.scores[e] if e != NO_PIECE else 0.0 for e in ends])
+        self._hash(np.array(edges, np.int64).reshape(-1, 2))
+        self.known = np.full(self.SLOTS, -1, np.int64)  # twice the pair, and one where it fits
+
+    def _hash(self, edges: np.ndarray) -> None:
+        self.bits = max(int(len(edges) * 4).bit_length(), 4)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.int32)
+        probe, left = 0, edges
+        while len(left):
+            slots = self._slot(left[:, 0], self.bits) + probe & (1 << self.bits) - 1
+            free = np.flatnonzero(self.keys[slots] == -1)
+            _, first = np.unique(slots[free], return_index=True)
+            taken = free[first]
+            self.keys[slots[taken]], self.values[slots[taken]] = left[taken, 0], left[taken, 1]
+            left = np.delete(left, taken, axis=0)
+            probe += 1
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _below(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The node below each node by a letter, 0 where there is none."""
+        keys = nodes * np.int64(self.n_letters) + letters
+        slots, mask = self._slot(keys, self.bits), (1 << self.bits) - 1
+        held = self.keys[slots]
+        found = np.where(held == keys, self.values[slots], 0)
+        others = np.flatnonzero((held != keys) & (held != -1))
+        slots = slots[others]
+        while len(others):  # an empty slot ends the search
+            slots = slots + 1 & mask
+            held = self.keys[slots]
+            hit = held == keys[others]
+            found[others[hit]] = self.values[slots[hit]]
+            going = ~hit & (held != -1)
+            others, slots = others[going], slots[going]
+        return found
+
+    def _fit(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        pairs = (before.astype(np.int64) + 1) * len(self.model.scores) + pieces
+        slots = self._slot(pairs, self.SLOTS.bit_length() - 1)
+        held = self.known[slots]
+        missing = np.flatnonzero(held >> 1 != pairs)
+        if len(missing):
+            wanted, back = np.unique(pairs[missing], return_inverse=True)
+            first, second = np.divmod(wanted, len(self.model.scores))
+            fits = np.array([self.stream._fits(a - 1, b) for a, b in zip(first.tolist(), second.tolist())], np.int64)
+            coded = wanted * 2 + fits
+            held[missing] = coded[back]
+            self.known[slots[missing]] = held[missing]
+        return (held & 1).astype(bool)
+
+    def encode(self, stretches: list[str]) -> list[bytes]:
+        """Coded ids of stretches of one length."""
+        m, size, unigram = len(stretches), len(stretches[0]), self.model.kind == UNIGRAM
+        points = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.ascontiguousarray(self.letter[points].reshape(m, size).T)
+        last = np.full((size + 1, m), -2, np.int32)  # -2: no path
+        back = np.zeros((size + 1, m), np.int8)
+        score = np.zeros((size + 1, m)) if unigram else None
+        last[0] = NO_PIECE
+        for start in range(size):
+            rows = np.flatnonzero(last[start] != -2)
+            strange = rows[~self.single[letters[start, rows]]]  # an edge for the character itself
+            if unigram:
+                total = score[start, strange] + self.model.unknown_score
+                strange = strange[(last[start + 1, strange] == -2) | (total > score[start + 1, strange])]
+                score[start + 1, strange] = score[start, strange] + self.model.unknown_score
+            else:
+                strange = strange[last[start + 1, strange] == -2]
+            last[start + 1, strange], back[start + 1, strange] = NO_PIECE, start
+            nodes = np.zeros(len(rows), np.int64)
+            before = last[start, rows]
+            for end in range(start + 1, min(size, start + self.model.longest) + 1):
+                nodes = self._below(nodes, letters[end - 1, rows])
+                going = np.flatnonzero(nodes)
+                if len(going) < len(rows):
+                    rows, nodes, before = rows[going], nodes[going], before[going]
+                if not len(rows):
+                    break
+                pieces = self.ends[nodes]
+                chosen = np.flatnonzero(pieces != NO_PIECE)
+                if unigram:
+                    total = score[start, rows[chosen]] + self.scores[nodes[chosen]]
+                    chosen = chosen[(last[end, rows[chosen]] == -2) | (total > score[end, rows[chosen]])]
+                    score[end, rows[chosen]] = score[start, rows[chosen]] + self.scores[nodes[chosen]]
+                else:
+                    chosen = chosen[last[end, rows[chosen]] == -2]
+                    chosen = chosen[self._fit(before[chosen], pieces[chosen])]
+                last[end, rows[chosen]] = pieces[chosen]
+                back[end, rows[chosen]] = start
+        out = np.zeros((m, size), np.int32)
+        at, place = np.full(m, size), np.full(m, size)
+        while len(rows := np.flatnonzero(at)):
+            place[rows] -= 1
+            pieces, begin = last[at[rows], rows], back[at[rows], rows]
+            out[rows, place[rows]] = np.where(pieces == NO_PIECE, -1 - begin, pieces)
+            at[rows] = begin
+        raw, width = out.astype(self.model.dtype).tobytes(), size * self.model.dtype.itemsize
+        begins = place * self.model.dtype.itemsize
+        coded = [raw[i * width + b : (i + 1) * width] for i, b in enumerate(begins.tolist())]
+        for i in np.flatnonzero((out < 0).any(axis=1)).tolist():
+            spelled = [x for p in out[i, place[i] :].tolist() for x in ([p] if p >= 0 else self.model.spelled(stretches[i][-1 - p]))]
+            coded[i] = np.array(spelled, self.model.dtype).tobytes()
+        return coded
+
+
 class PieceEncoder:
-    """Whole texts by stretches that no piece spans, with a bounded memory of stretches."""
+    """Whole texts by stretches that no piece spans, with a bounded memory of stretches.
+
+    Texts go in by windows of about ``WINDOW`` characters. The stretches of a window that are not remembered are encoded together.
+    """
+
+    WINDOW = 1 << 21
 
     def __init__(self, model: PieceModel):
         self.model = model
         self.stream = StreamingViterbi(model)
+        self.lattice = Lattice(model, self.stream.fits, self.stream)
+        self.fresh: dict[str, bytes] = {}
         self.seen = Memory(self._stretch, REMEMBERED)
         self.coded = [i.to_bytes(model.dtype.itemsize, "little") for i in range(len(model.text_of))]
 
     def _stretch(self, chars: str) -> bytes:
+        known = self.fresh.get(chars)
+        if known is not None:
+            return known
         # What fits into the window has nothing to commit before its end.
         stream = self.stream
         found = stream.whole(chars) if len(chars) < 2 * self.model.longest else stream.feed(chars) + stream.finish()
         coded = self.coded
         return b"".join([coded[i] for i in found])
 
+    def _learn(self, stretches: set[str]) -> None:
+        self.fresh = {}
+        by_length: dict[int, list[str]] = {}
+        for s in stretches:
+            if len(s) < 2 * self.model.longest:
+                by_length.setdefault(len(s), []).append(s)
+        for alike in by_length.values():
+            if len(alike) >= 16:  # for fewer, one by one is as quick
+                self.fresh.update((s, ids) for s, ids in zip(alike, self.lattice.encode(alike)))
+
+    def _windows(self, texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
+        """(number of the text, normalised part), cut before white space, in lists of about ``WINDOW`` characters."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            normal, at = self.model.processor.normalize(text) if text else "", 0
+            while at < len(normal):
+                cut = normal.find(SPACE, at + self.WINDOW - size)
+                while cut > 0 and normal[cut - 1] == SPACE:
+                    cut = normal.find(SPACE, cut + 1)
+                if cut < 0 or not self.model.cuts:
+                    cut = len(normal)
+                held.append((k, normal[at:cut]))
+                size, at = size + cut - at, cut
+                if size >= self.WINDOW:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Coded ids of each text."""
+        out, seen = [b""] * len(texts), self.seen
+        for window in self._windows(texts):
+            parts = [self.model.stretches.findall(part) for _, part in window]
+            self._learn(set().union(*parts).difference(seen, seen.older))
+            for (k, _), stretches in zip(window, parts):
+                ids = b"".join([seen[s] for s in stretches])
+                out[k] = out[k] + ids if out[k] else ids
+        self.fresh = {}
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        seen = self.seen
-        normal = self.model.processor.normalize(text) if text else ""
-        return np.frombuffer(b"".join([seen[s] for s in self.model.stretches.findall(normal)]), dtype=self.model.dtype)
+        return np.frombuffer(self.encode_all([text])[0], dtype=self.model.dtype)
 
 
 def decode(model: PieceModel, ids: Iterable[int]) -> str:
     """Text of ids: byte pieces joined to characters (broken ones as U+FFFD), the marks of spaces turned to spaces."""
     ids = list(ids)
     if model.byte_of.keys().isdisjoint(ids):
-        text = "".join([model.text_of[i] for i in ids])
+        text = "".join(map(model.text_of.__getitem__, ids))
     else:
         parts, run = [], bytearray()
         for i in [*ids, None]:
@@ -329,7 +550,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         enc = piece_encoder(model_path)
         for batch in batches:
             with no_collection():
-                ids = [enc.encode(t.as_py() or "").tobytes() for t in batch.column("text")]
+                ids = enc.encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(ids, pa.binary())], names=[*carried, "ids"])
 
     return rows.mapInArrow(encode, f"{_typed(rows, carried)}ids binary")

@@ -352,17 +352,24 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
         b, labels = field.decode(texts[part])
         kind = (labels + 1) // 2
         tagged = np.flatnonzero(labels)
-        begins = tagged[(labels[tagged] % 2 == 1) | ~np.isin(tagged - 1, tagged) | (kind[tagged] != kind[tagged - 1]) | (b.doc[tagged] != b.doc[tagged - 1])]
-        for k, i in enumerate(begins):
-            stop = tagged[tagged < (begins[k + 1] if k + 1 < len(begins) else len(labels))][-1]
-            doc = int(b.doc[i])
+        if not len(tagged):
+            continue
+        opens = np.ones(len(tagged), dtype=bool)
+        opens[1:] = (np.diff(tagged) > 1) | (np.diff(kind[tagged]) != 0) | (np.diff(b.doc[tagged]) != 0)
+        places = np.flatnonzero(opens | (labels[tagged] % 2 == 1))
+        first, last = tagged[places], tagged[np.append(places[1:], len(tagged)) - 1]
+        points = np.concatenate([[0], np.cumsum((b.raw & 0xC0) != 0x80)])  # code points before each byte
+        bases = np.concatenate([[0], b.edges])[b.doc[first]]
+        begins, ends = points[b.start[first]] - points[bases], points[b.stop[last]] - points[bases]
+        held: tuple[int, np.ndarray, np.ndarray] | None = None  # a text's base spans: starts, and the furthest end up to each
+        for doc, x, y, which in zip(b.doc[first].tolist(), begins.tolist(), ends.tolist(), kind[first].tolist()):
             text, (base, added) = texts[part][doc], out[part.start + doc]
-            raw = text.encode("utf-8", "replace")
-            offset = int(b.edges[doc - 1]) if doc else 0
-            x = len(raw[: b.start[i] - offset].decode())
-            y = x + len(raw[b.start[i] - offset : b.stop[stop] - offset].decode())
-            name = KINDS[kind[i] - 1]
-            if all(y <= s or x >= e for s, e, _ in base) and _VALID[name](text[x:y]):
+            if held is None or held[0] != doc:
+                starts, stops = np.array(sorted((s, e) for s, e, _ in base), dtype=np.int64).reshape(-1, 2).T
+                held = doc, starts, np.maximum.accumulate(stops)
+            before = int(np.searchsorted(held[1], y))
+            name = KINDS[which - 1]
+            if (not before or held[2][before - 1] <= x) and _VALID[name](text[x:y]):
                 added.append((x, y, name))
     return out
 

@@ -334,6 +334,39 @@ def test_pieces_equal_the_library(docs, empty):
     assert pieces.encode_pieces(empty, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("kind", (pieces.BPE, pieces.UNIGRAM))
+def test_lattice_of_many_stretches_equals_the_stream(kind):
+    with open(PIECES, "rb") as f:
+        model = pieces.PieceModel(f.read(), kind=kind)
+    rnd = random.Random(13)
+    ours, stream = pieces.PieceEncoder(model), pieces.StreamingViterbi(model)
+    for size in (1, 2, 5, 12, 31):
+        many = ["".join(rnd.choice("▁abthein,ñ😀日") for _ in range(size)) for _ in range(300)]
+        coded = [np.frombuffer(x, model.dtype).tolist() for x in ours.lattice.encode(many)]
+        assert coded == [stream.feed(x) + stream.finish() for x in many]
+    if kind == pieces.BPE:
+        for a, b in ((rnd.randrange(3, len(model.text_of)), rnd.randrange(3, len(model.text_of))) for _ in range(2000)):
+            pair = [model.text_of[a], model.text_of[b]]
+            assert not all(pair) or model.stays_apart(a, b) == (model.merged(list("".join(pair))) == pair)
+
+
+def test_windows_of_a_text_give_the_same_ids():
+    with open(PIECES, "rb") as f:
+        model = pieces.PieceModel(f.read())
+    small, text = pieces.PieceEncoder(model), "the  theanttion, end.\n ünd so   on " * 40
+    small.WINDOW = 50
+    for texts in (["", text, "x", text[7:], ""], [" " * 300], ["a" * 300]):
+        assert [np.frombuffer(x, model.dtype).tolist() for x in small.encode_all(texts)] == model.processor.encode(texts)
+
+
+def test_many_spans_in_one_text():
+    field = pii.train([(t, [tuple(s) for s in spans]) for t, spans in pii.labelled_rows()])
+    one = "é (672) 555-8657 or 10.0.0.1, ask ab.cd@mail.example.com. "
+    (base, added), (base_many, added_many) = pii.all_spans([one, one * 400], field)
+    assert added and [(x % len(one), y - x, k) for x, y, k in added_many].count((added[0][0], added[0][1] - added[0][0], added[0][2])) >= 398
+    assert all(e <= x or y <= s for x, y, _ in added_many for s, e, _ in base_many if abs(s - x) < 100)
+
+
 def test_streams_commit_within_a_window():
     with open(PIECES, "rb") as f:
         model = pieces.PieceModel(f.read())
