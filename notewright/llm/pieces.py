@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -440,7 +440,7 @@ class PieceEncoder:
     Texts go in by windows of about ``WINDOW`` characters. The stretches of a window that are not remembered are encoded together.
     """
 
-    WINDOW = 1 << 21
+    WINDOW = 1 << 19
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -471,11 +471,11 @@ class PieceEncoder:
                 self.fresh.update((s, ids) for s, ids in zip(alike, self.lattice.encode(alike)))
 
     def _windows(self, texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
-        """(number of the text, normalised part), cut before white space, in lists of about ``WINDOW`` characters."""
+        """(number of the text, normalised part), cut before white space, in lists of about ``WINDOW`` characters; an empty text is one empty part."""
         held, size = [], 0
         for k, text in enumerate(texts):
             normal, at = self.model.processor.normalize(text) if text else "", 0
-            while at < len(normal):
+            while True:
                 cut = normal.find(SPACE, at + self.WINDOW - size)
                 while cut > 0 and normal[cut - 1] == SPACE:
                     cut = normal.find(SPACE, cut + 1)
@@ -486,23 +486,28 @@ class PieceEncoder:
                 if size >= self.WINDOW:
                     yield held
                     held, size = [], 0
+                if at >= len(normal):
+                    break
         if held:
             yield held
 
-    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+    def encode_each(self, texts: Iterable[str]) -> list[bytes]:
         """Coded ids of each text."""
-        out, seen = [b""] * len(texts), self.seen
+        out, seen = [], self.seen
         for window in self._windows(texts):
             parts = [self.model.stretches.findall(part) for _, part in window]
             self._learn(set().union(*parts).difference(seen, seen.older))
             for (k, _), stretches in zip(window, parts):
                 ids = b"".join([seen[s] for s in stretches])
-                out[k] = out[k] + ids if out[k] else ids
+                if k < len(out):
+                    out[k] += ids
+                else:
+                    out.append(ids)
         self.fresh = {}
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_all([text])[0], dtype=self.model.dtype)
+        return np.frombuffer(self.encode_each([text])[0], dtype=self.model.dtype)
 
 
 def decode(model: PieceModel, ids: Iterable[int]) -> str:
@@ -550,7 +555,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         enc = piece_encoder(model_path)
         for batch in batches:
             with no_collection():
-                ids = enc.encode_all([t or "" for t in batch.column("text").to_pylist()])
+                ids = enc.encode_each(t.as_py() or "" for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(ids, pa.binary())], names=[*carried, "ids"])
 
     return rows.mapInArrow(encode, f"{_typed(rows, carried)}ids binary")

@@ -356,7 +356,7 @@ def test_windows_of_a_text_give_the_same_ids():
     small, text = pieces.PieceEncoder(model), "the  theanttion, end.\n ünd so   on " * 40
     small.WINDOW = 50
     for texts in (["", text, "x", text[7:], ""], [" " * 300], ["a" * 300]):
-        assert [np.frombuffer(x, model.dtype).tolist() for x in small.encode_all(texts)] == model.processor.encode(texts)
+        assert [np.frombuffer(x, model.dtype).tolist() for x in small.encode_each(texts)] == model.processor.encode(texts)
 
 
 def test_many_spans_in_one_text():
