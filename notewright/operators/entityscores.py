@@ -11,6 +11,7 @@ from notewright import schema as S
 from notewright.functions.text import normalize_text, text_or_empty, word_count
 from notewright.operators.containment import occurrences
 from notewright.operators.entities import entity_set_diff
+from notewright.operators.quantiles import exact_quantiles
 from notewright.session import stage
 
 
@@ -227,6 +228,7 @@ def span_lengths(entities: DataFrame) -> DataFrame:
 
 
 def confidence_stats(entities: DataFrame) -> DataFrame:
+    """One row about all scores; a null score counts as 0. Runs jobs at once: see :mod:`notewright.operators.quantiles`."""
     s = F.col("score")
     spec = (
         ("below_03", s < 0.3),
@@ -235,9 +237,12 @@ def confidence_stats(entities: DataFrame) -> DataFrame:
         ("from_07_to_09", (s >= 0.7) & (s < 0.9)),
         ("from_09", s >= 0.9),
     )
-    return entities.select(F.coalesce("score", F.lit(0.0)).alias("score")).agg(
+    # Scores are stored, as the median is found by narrowing ranges: unrounded scores may all differ.
+    scores = stage(entities.select(F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
+    median = exact_quantiles(scores, "score", [0.5])[0]
+    return scores.agg(
         F.round(F.avg("score"), 4).alias("mean"),
-        F.round(F.percentile("score", 0.5), 4).alias("median"),
+        F.round(F.lit(median).cast("double"), 4).alias("median"),
         F.round(F.min("score"), 4).alias("min"),
         F.round(F.max("score"), 4).alias("max"),
         F.count_distinct(F.round("score", 4)).alias("n_distinct"),
