@@ -440,7 +440,7 @@ class PieceEncoder:
     Texts go in by windows of about ``WINDOW`` characters. The stretches of a window that are not remembered are encoded together.
     """
 
-    WINDOW = 1 << 19
+    WINDOW = 1 << 21
 
     def __init__(self, model: PieceModel):
         self.model = model
