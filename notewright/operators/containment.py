@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.session import stage
+
 # Characters of a gram. Shorter needles are their own anchors.
 GRAM = 4
 # Long texts are searched in stretches of this many characters, which overlap by the longest needle.
@@ -57,7 +59,8 @@ def occurrences(
     sizes, longest = words.agg(F.sort_array(F.collect_set(F.least(F.length("word"), F.lit(GRAM)))), F.max(F.length("word"))).first()
     sizes, longest = sizes or [GRAM], longest or 1
     cuts = _stretches(texts, longest)
-    keyed = needles.join(anchors(words, cuts.groupBy(F.col("cut").alias("low")).agg(F.count("*").alias("n")), sizes), "word")
+    counted = cuts.select(F.col("cut").alias("low"), F.lit(1).alias("n"))
+    keyed = needles.join(anchors(words, counted, sizes), "word")
     columns = list(dict.fromkeys([*on, *keep]))
     found = (
         cuts.select(*columns, "cut", F.length("low").alias("size"), F.explode(grams(F.col("cut"), sizes)).alias("anchor"))
@@ -67,3 +70,14 @@ def occurrences(
     if longer:
         found = found.filter(F.col("size") > F.length("word"))
     return found.select(*keep, "word").distinct()
+
+
+def held_words(texts: DataFrame, needles: DataFrame, longer: bool = False) -> DataFrame:
+    """Distinct ``low, word``: which different words stand in which different texts, whatever rows they come from.
+
+    For tables that repeat their texts in many rows: each different text is searched once, and a row then looks up its own text. A text
+    meets at most as many words as it has substrings. Written once.
+    """
+    lows = stage(texts.select("low").distinct(), "lows")
+    words = stage(needles.select("word").distinct(), "needles")
+    return stage(occurrences(lows, words, keep=["low"], longer=longer), "held-words")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notewright import schema as S
 from notewright.functions.text import normalize_text, text_or_empty, word_count
-from notewright.operators.containment import occurrences
+from notewright.operators.containment import held_words, occurrences
 from notewright.operators.entities import entity_set_diff
 from notewright.operators.quantiles import exact_quantiles
 from notewright.session import stage
@@ -104,7 +104,9 @@ def keyword_coverage(entities: DataFrame, notes: DataFrame, keywords: DataFrame
 
     ``keywords`` has a column ``word``; a word that stands in it twice counts twice, an
     empty one or an empty entity not at all. An entity captures a keyword that contains
-    it or that it contains; all three searches are joins on anchors (:func:`occurrences`).
+    it or that it contains. Notes are searched by anchors (:func:`occurrences`); different keywords and entity texts are searched
+    once each (:func:`held_words`). Rows of a note meet by groupings: what is written between jobs is far larger in memory than in its
+    file, so that a join might send it whole to the driver.
     """
     if keywords is None:
         fixed = F.array(*[F.lit(k) for k in all_keywords()])
@@ -112,15 +114,24 @@ def keyword_coverage(entities: DataFrame, notes: DataFrame, keywords: DataFrame
     counted = keywords.filter("word <> ''").groupBy("word").agg(F.count("*").alias("weight"))
     lowered = notes.select("id", F.lower(text_or_empty(F.col("note"))).alias("low"))
     wanted = stage(occurrences(lowered, counted.select("word"), keep=["id"]), "wanted")
-    texts = stage(entities.select("id", F.lower("text").alias("low")).distinct(), "entity-texts")
-    around = occurrences(texts, wanted, on=["id"], keep=["id"])
-    inside = occurrences(wanted.withColumnRenamed("word", "low"), texts.withColumnRenamed("low", "word"), on=["id"], keep=["id", "low"])
-    captured = around.select("id", "word").unionByName(inside.select("id", F.col("low").alias("word"))).distinct().withColumn("hit", F.lit(1))
+    texts = stage(entities.select("id", F.lower("text").alias("low")).filter("id is not null and low <> ''").distinct(), "entity-texts")
+    as_texts, as_words = wanted.withColumnRenamed("word", "low"), texts.withColumnRenamed("low", "word")
+    around = texts.join(held_words(texts, wanted), "low").select("id", "word")
+    # An entity text asked for by a keyword that holds it, and whether the document has it.
+    asks = as_texts.join(held_words(as_texts, as_words), "low").select("id", F.col("word").alias("text"), F.col("low").alias("word"))
+    has = texts.select("id", F.col("low").alias("text"), F.lit(None).cast("string").alias("word"))
+    inside = (
+        asks.unionByName(has).groupBy("id", "text")
+        .agg(F.collect_set("word").alias("words"), F.bool_or(F.col("word").isNull()).alias("there"))
+        .filter("there").select("id", F.explode("words").alias("word"))
+    )
+    marked = wanted.select("id", "word", F.lit(True).alias("own")).unionByName(around.unionByName(inside).withColumn("own", F.lit(False)))
     per_note = (
-        wanted.join(captured, ["id", "word"], "left")
+        marked.groupBy("id", "word").agg(F.bool_or("own").alias("own"), F.bool_and("own").alias("missed"))
+        .filter("own")
         .join(counted, "word")
         .groupBy("id")
-        .agg((F.sum(F.when(F.col("hit") == 1, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("score"))
+        .agg((F.sum(F.when(~F.col("missed"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("score"))
     )
     return per_note.agg(
         F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("mean"),

@@ -62,3 +62,15 @@ def test_dedup_of_a_large_group_equals_the_greedy_pass(spark):
         if not any(s in k for k in kept):
             kept.append(s)
     assert sorted(r.text for r in E.dedup_entities(df).collect()) == sorted(kept)
+
+
+def test_texts_in_many_rows_are_searched_once(spark):
+    texts = spark.createDataFrame([(i, t) for i in range(50) for t in ("left knee", "knee", "Ne")], "id long, low string")
+    held = rows(C.held_words(texts, texts.withColumnRenamed("low", "word"), longer=True))
+    assert held == [("left knee", "knee")]
+
+
+def test_dedup_keeps_spans_without_a_label_and_in_other_documents(spark):
+    spans = [(1, 0, "left knee", "a", 0.5), (1, 1, "knee", "a", 0.5), (1, 2, "left", None, 0.5), (1, 3, "nee", "b", 0.5), (2, 0, "knee", "a", 0.5), (None, 0, "knee", "a", 0.5), (None, 1, "left knee", "a", 0.5), (3, 0, None, "a", 0.5)]
+    got = rows(E.dedup_entities(spark.createDataFrame(spans, "id long, pos long, text string, label string, score double")), "id", "pos")
+    assert got == sorted([(1, 0), (1, 2), (1, 3), (2, 0), (None, 0), (None, 1), (3, 0)], key=lambda t: tuple((v is None, str(v)) for v in t))
