@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from notewright import parallel
 from notewright import schema as S
+from notewright.functions.places import word_places
 from notewright.functions.text import (
     normalize_entity_text,
     strip,
@@ -21,10 +22,14 @@ from notewright.functions.text import (
     text_or_empty,
     word_count,
 )
-from notewright.operators.containment import occurrences
+from notewright.operators.containment import held_words
 from notewright.session import stage
 
 
+# A table of so many short phrases is small enough to be broadcast.
+LARGE_LEXICON = 60_000
+
+
 def literal_map(pairs: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -240,15 +245,27 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
     """Exact duplicates merged, then spans inside a longer span of the same label dropped.
 
     Being inside is transitive, so "inside any longer one" equals a greedy longest-first
-    pass. Spans are looked for by anchors in the others of their document and label.
+    pass. Each different span is searched once for the others (:func:`held_words`); a row then names the spans
+    that its own holds, and these names meet the spans of their document and label in one grouping.
     Adds ``dup_rank``: the order of the survivors, longest first, then by first sighting.
     """
     unique = stage(dedup_exact(entities).withColumn("low", F.lower("text")), "spans")
-    spans = unique.select("id", "label", "low")
-    inner = occurrences(spans, spans.withColumnRenamed("low", "word"), on=["id", "label"], keep=["id", "label"], longer=True)
-    left = unique.join(inner.withColumnRenamed("word", "low"), ["id", "label", "low"], "left_anti")
-
+    held = held_words(unique, unique.select(F.col("low").alias("word")), longer=True)
+    span = F.struct("pos", "text", "score").alias("span")
+    own = unique.select("id", "label", "low", span)
+    named = (
+        unique.filter("id is not null and label is not null").select("id", "label", "low").join(held, "low")
+        .select("id", "label", F.col("word").alias("low"), F.lit(None).cast(own.schema["span"].dataType).alias("span"))
+    )
     columns = ["id", "pos", "text", "label", "score"]
+    # Cut by id alone: neither the grouping nor the ranking shuffles again.
+    left = (
+        parallel.by_key(own.unionByName(named), "id")
+        .groupBy("id", "label", "low")
+        .agg(F.first("span", ignorenulls=True).alias("span"), F.bool_or(F.col("span").isNull()).alias("inside"))
+        .filter(F.col("span").isNotNull() & ~F.col("inside"))
+        .select("id", "label", "span.*")
+    )
     order = Window.partitionBy("id").orderBy(F.length("text").desc(), "pos")
     return left.select(*columns).withColumn("dup_rank", F.row_number().over(order).cast("long"))
 
@@ -256,51 +273,40 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- tagging
 
 
-def word_pieces(df: DataFrame, col: str = "text") -> DataFrame:
-    """Words with their place: ``id, wpos, word, start, end``; ``word`` is lower-cased.
+def _spoken(df: DataFrame, col: str) -> DataFrame:
+    """``id, w``: the words of each text with their starts, in order. Cut by id, which moves each text once; all that is done per id after that needs no further shuffle."""
+    return parallel.by_key(df.select("id", col), "id").select("id", word_places(F.col(col)).alias("w"))
 
-    A piece is a word with what follows it up to the next word, so the pieces cover the
-    text and their running length gives every place.
-    """
-    text = text_or_empty(F.col(col))
-    # What stands before the first word, maybe nothing, is piece 0.
-    pieces = F.concat(
-        F.array(F.regexp_extract(text, "^[^A-Za-z0-9]*", 0)),
-        F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+[^A-Za-z0-9]*"), 0),
-    )
-    order = Window.partitionBy("id").orderBy("wpos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _end(word: Column) -> Column:
+    return word["start"] + F.length(word["word"])
+
+
+def word_pieces(df: DataFrame, col: str = "text") -> DataFrame:
+    """Words with their place: ``id, wpos, word, start, end``; ``word`` is lower-cased, places are code points."""
     return (
-        # Cutting by id first moves each text once; the window then needs no further shuffle.
-        parallel.by_key(df.select("id", col), "id")
-        .select("id", F.posexplode(pieces).alias("pos", "piece"))
-        .select(
-            "id",
-            (F.col("pos") - 1).cast("long").alias("wpos"),
-            F.regexp_extract(F.lower("piece"), "^[a-z0-9]+", 0).alias("word"),
-            F.length("piece").alias("width"),
-        )
-        .withColumn("start", F.sum("width").over(so_far) - F.col("width"))
-        .filter(F.col("wpos") >= 0)
-        .select("id", "wpos", "word", "start", (F.col("start") + F.length("word")).alias("end"))
+        _spoken(df, col)
+        .select("id", F.posexplode("w").alias("wpos", "w"))
+        .select("id", F.col("wpos").cast("long").alias("wpos"), "w.word", F.col("w.start").cast("long").alias("start"), _end(F.col("w")).cast("long").alias("end"))
     )
 
 
 def _runs(df: DataFrame, col: str, max_words: int) -> DataFrame:
     """``id, wpos, n_words, start, end, phrase``: every run of 1 to ``max_words`` words."""
-    order = Window.partitionBy("id").orderBy("wpos")
-    pieces = word_pieces(df, col)
-    for k in range(1, max_words):
-        pieces = pieces.withColumn(f"word_{k}", F.lead("word", k).over(order)).withColumn(
-            f"end_{k}", F.lead("end", k).over(order)
-        )
-    runs, phrase = [], F.col("word")
+    if max_words == 1:
+        return word_pieces(df, col).select("id", "wpos", F.lit(1).alias("n_words"), "start", "end", F.col("word").alias("phrase"))
+
+    def following(_, i: Column) -> Column:
+        return F.struct(i.alias("wpos"), *[F.get("w", i + k).alias(f"w{k}") for k in range(max_words)])
+
+    pieces = _spoken(df, col).select("id", F.explode(F.transform("w", following)).alias("at")).select("id", "at.*")
+    runs, phrase = [], None
     for k in range(max_words):
-        if k:
-            phrase = F.concat_ws(" ", phrase, F.col(f"word_{k}"))
-        until = F.col(f"end_{k}") if k else F.col("end")
-        runs.append(F.when(until.isNotNull(), F.struct(phrase.alias("phrase"), F.lit(k + 1).alias("n_words"), until.alias("end"))))
-    found = pieces.select("id", "wpos", "start", F.explode(F.array_compact(F.array(*runs))).alias("run"))
+        word = F.col(f"w{k}")
+        phrase = F.concat_ws(" ", phrase, word["word"]) if k else word["word"]
+        runs.append(F.when(word.isNotNull(), F.struct(phrase.alias("phrase"), F.lit(k + 1).alias("n_words"), _end(word).cast("long").alias("end"))))
+    start = F.col("w0.start").cast("long").alias("start")
+    found = pieces.select("id", F.col("wpos").cast("long").alias("wpos"), start, F.explode(F.array_compact(F.array(*runs))).alias("run"))
     return found.select("id", "wpos", "run.n_words", "start", "run.end", "run.phrase")
 
 
@@ -336,12 +342,13 @@ def tag_longest(
 ) -> DataFrame:
     """As :func:`tag_lexicon`, but hits do not overlap: from left to right the longest phrase at each word, then on behind it.
 
-    Of lexicon rows with one phrase the best-scored counts, then the first label. Phrases are looked up by phrase and salt, so the rows of a common word are
-    spread over ``salts`` tasks where the lexicon is too large to be broadcast. The choice is one ordered pass over each run of overlapping hits,
+    Of lexicon rows with one phrase the best-scored counts, then the first label. Where the lexicon is too large to be broadcast (over ``LARGE_LEXICON``
+    phrases), they are looked up by phrase and salt, so the rows of a common word are spread over ``salts`` tasks. The choice is one ordered pass over each run of overlapping hits,
     not over the document: a hit that begins behind all earlier ones begins a new run.
     """
     best = F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "label", "score"))
     entries = lexicon.groupBy("phrase").agg(best.alias("entry")).select("phrase", "entry.label", "entry.score")
+    salts = salts if entries.count() > LARGE_LEXICON else 1
     spread = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64("id", "wpos"), F.lit(salts)).cast("int")
     hits = _runs(df, col, max_words).withColumn("salt", salt).join(spread, ["phrase", "salt"])
@@ -404,14 +411,12 @@ def negation_scopes(
     scope_words: int = S.NEGATION_SCOPE_WORDS,
 ) -> DataFrame:
     """``id, start, end`` from each negation cue to the end of the ``scope_words``-th word after."""
-    order = Window.partitionBy("id").orderBy("wpos")
-    reach = F.max("end").over(order.rowsBetween(Window.currentRow, scope_words))
-    return (
-        word_pieces(df, col)
-        .withColumn("until", reach)
-        .filter(F.col("word").isin(*cues))
-        .select("id", F.col("start").cast("long").alias("start"), F.col("until").cast("long").alias("end"))
-    )
+
+    def scope(word: Column, i: Column) -> Column:
+        until = _end(F.get("w", F.least(i + scope_words, F.size("w") - 1)))
+        return F.when(word["word"].isin(*cues), F.struct(word["start"].cast("long").alias("start"), until.cast("long").alias("end")))
+
+    return _spoken(df, col).select("id", F.inline(F.array_compact(F.transform("w", scope))))
 
 
 def mark_negated(entities: DataFrame, scopes: DataFrame, width: int = 4096) -> DataFrame:
