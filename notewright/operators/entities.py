@@ -16,11 +16,11 @@ from notewright import parallel
 from notewright import schema as S
 from notewright.functions.places import word_places
 from notewright.functions.text import (
+    has_few_words,
     normalize_entity_text,
     strip,
     substrings,
     text_or_empty,
-    word_count,
 )
 from notewright.operators.containment import held_words
 from notewright.session import stage
@@ -42,6 +42,11 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
     return F.exists(literal_array(needles), lambda k: F.contains(text, k))
 
 
+def where_made(df: DataFrame, condition: Column) -> DataFrame:
+    """``df`` filtered by columns made in it. A plain filter would be moved below the steps that make them, and they would run twice."""
+    return df.select("*", F.explode_outer(F.array(condition)).alias("_keep")).filter("_keep").drop("_keep")
+
+
 # ------------------------------------------------------------------- parsing
 
 
@@ -70,13 +75,14 @@ def parse_entities(
     items = df.select(
         F.col(id_col).alias("id"), F.posexplode(F.coalesce(*attempts)).alias("pos", "item")
     )
-    return items.select(
+    fields = items.select(
         "id",
         F.col("pos").cast("long").alias("pos"),
         F.try_variant_get("item", "$.text", "string").alias("text"),
         F.try_variant_get("item", "$.label", "string").alias("label"),
         F.try_variant_get("item", "$.score", "double").alias("score"),
-    ).filter(F.col("text").isNotNull() & F.col("label").isNotNull())
+    )
+    return where_made(fields, F.col("text").isNotNull() & F.col("label").isNotNull())
 
 
 def canonical_label(
@@ -89,29 +95,20 @@ def canonical_label(
     """Map label spellings, keep known labels and plausible spans, clamp the score."""
     label = F.lower(strip(F.col("label")))
     score = F.coalesce(F.col("score"), F.lit(default_score))
-    return (
-        entities.withColumn("text", strip(F.col("text")))
-        .withColumn("label", F.coalesce(F.try_element_at(literal_map(synonyms), label), label))
-        .filter(
-            F.col("label").isin(*labels)
-            & (F.length("text") > 1)
-            & (word_count(F.col("text")) <= max_words)
-        )
-        .withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
+    spelled = entities.withColumns(
+        {"text": strip(F.col("text")), "label": F.coalesce(F.try_element_at(literal_map(synonyms), label), label)}
+    )
+    kept = where_made(
+        spelled, F.col("label").isin(*labels) & (F.length("text") > 1) & has_few_words(F.col("text"), max_words)
     )
+    return kept.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
 
 
 def entities_json(entities: DataFrame) -> DataFrame:
     """One JSON list cell per id, in ``pos`` order; inverse of :func:`parse_entities`."""
-    item = F.struct("pos", "text", "label", "score")
-    ordered = F.array_sort(F.collect_list(item))
-    plain = F.transform(
-        ordered,
-        lambda e: F.struct(
-            e["text"].alias("text"), e["label"].alias("label"), e["score"].alias("score")
-        ),
-    )
-    return entities.groupBy("id").agg(F.to_json(plain).alias("entities_json"))
+    item = F.struct("pos", F.struct("text", "label", "score").alias("entity"))
+    ordered = F.sort_array(F.collect_list(item))
+    return entities.groupBy("id").agg(F.to_json(ordered["entity"]).alias("entities_json"))
 
 
 # ------------------------------------------------------------------ cleaning
@@ -125,10 +122,8 @@ def clean_spans(
     """Trim, straighten quotes, peel leading filler phrases, drop long and tiny spans."""
     filler = "(?iU)^(?:(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in phrases) + r")\s*)+"
     straight = F.translate(strip(F.col("text")), "’‘", "''")
-    kept = entities.withColumn("text", straight).filter(word_count(F.col("text")) <= max_words)
-    return kept.withColumn("text", strip(F.regexp_replace("text", filler, ""))).filter(
-        F.length("text") > 1
-    )
+    peeled = F.when(has_few_words(F.col("text"), max_words), strip(F.regexp_replace("text", filler, "")))
+    return where_made(entities.withColumn("text", straight).withColumn("text", peeled), F.length("text") > 1)
 
 
 def adaptive_threshold(
@@ -139,19 +134,13 @@ def adaptive_threshold(
 ) -> DataFrame:
     """Entities at ``high`` or above; documents left with fewer than ``minimum`` use ``low``.
 
-    Sure entities only pass a filter. Just those between the two limits meet the
-    (pre-aggregated) list of weak documents.
+    The sure ones are counted along the document, so a table that is cut by ``id`` is not shuffled. Entities
+    without an id belong to no document and use ``high``.
     """
-    weak = (
-        entities.groupBy("id")
-        .agg(F.count_if(F.col("score") >= high).alias("n"))
-        .filter(F.col("n") < minimum)
-        .select("id")
-    )
-    unsure = entities.filter((F.col("score") >= low) & (F.col("score") < high))
-    return entities.filter(F.col("score") >= high).unionByName(
-        unsure.join(weak, "id", "left_semi").select(*entities.columns)
-    )
+    sure = F.col("score") >= high
+    n = F.count_if(sure).over(Window.partitionBy("id"))
+    weak = F.col("id").isNotNull() & (n < minimum)
+    return entities.filter(F.col("score") >= F.least(F.lit(low), F.lit(high))).withColumn("_weak", weak).filter(sure | F.col("_weak")).drop("_weak")
 
 
 def relabel_broad(
@@ -199,26 +188,20 @@ def promote_chief(
 
     Best is the highest score, the earlier one on ties; of several symptoms with that
     text the first is relabelled. With ``only_if_absent`` documents that already have a
-    chief complaint stay as they are.
+    chief complaint stay as they are. All is looked up along the document, so a table that is cut by ``id`` is not shuffled.
     """
-    per_text = (
-        entities.filter(F.col("label") == symptom)
-        .groupBy("id", "text")
-        .agg(
-            F.max("score").alias("best"),
-            F.max_by("pos", F.struct(F.col("score"), -F.col("pos"))).alias("best_pos"),
-            F.min("pos").alias("first_pos"),
-        )
-    )
-    chosen = per_text.groupBy("id").agg(
-        F.max_by("first_pos", F.struct(F.col("best"), -F.col("best_pos"))).alias("pos")
-    )
+    document = Window.partitionBy("id")
+    is_symptom = (F.col("label") == symptom) & F.col("id").isNotNull()
+    best = F.max(F.when(is_symptom, F.struct("score", (-F.col("pos")).alias("back"), "text")))
+    first = F.min(F.when(is_symptom & F.col("text").eqNullSafe(F.col("_best.text")), F.col("pos")))
+    seen = entities.withColumn("_best", best.over(document))
+    chosen = F.col("pos") == F.col("_first")
     if only_if_absent:
-        chosen = chosen.join(entities.filter(F.col("label") == chief), "id", "left_anti")
-    marked = chosen.withColumn("is_chosen", F.lit(True))
+        seen = seen.withColumn("_has", F.coalesce(F.bool_or(F.col("label") == chief).over(document), F.lit(False)))
+        chosen &= ~F.col("_has")
     return (
-        entities.join(marked, ["id", "pos"], "left")
-        .withColumn("label", F.when(F.col("is_chosen"), chief).otherwise(F.col("label")))
+        seen.withColumn("_first", first.over(document))
+        .withColumn("label", F.when(chosen, chief).otherwise(F.col("label")))
         .select(*entities.columns)
     )
 
@@ -295,6 +278,8 @@ def _runs(df: DataFrame, col: str, max_words: int) -> DataFrame:
     """``id, wpos, n_words, start, end, phrase``: every run of 1 to ``max_words`` words."""
     order = Window.partitionBy("id").orderBy("wpos")
     pieces = word_pieces(df, col)
+    if max_words == 1:
+        return pieces.select("id", "wpos", F.lit(1).alias("n_words"), "start", "end", F.col("word").alias("phrase"))
     for k in range(1, max_words):
         pieces = pieces.withColumn(f"word_{k}", F.lead("word", k).over(order)).withColumn(
             f"end_{k}", F.lead("end", k).over(order)
@@ -305,7 +290,7 @@ def _runs(df: DataFrame, col: str, max_words: int) -> DataFrame:
             phrase = F.concat_ws(" ", phrase, F.col(f"word_{k}"))
         until = F.col(f"end_{k}") if k else F.col("end")
         runs.append(F.when(until.isNotNull(), F.struct(phrase.alias("phrase"), F.lit(k + 1).alias("n_words"), until.alias("end"))))
-    found = pieces.select("id", "wpos", "start", F.explode(F.array_compact(F.array(*runs))).alias("run"))
+    found = pieces.select("id", "wpos", "start", F.explode(F.array(*runs)).alias("run")).filter("run is not null")
     return found.select("id", "wpos", "run.n_words", "start", "run.end", "run.phrase")
 
 
@@ -498,7 +483,8 @@ def normalize_concept(entities: DataFrame, lexicon: DataFrame | None = None) ->
         lexicon = entities.sparkSession.range(1).select(F.inline(literal_lexicon()))
     texts = entities.select("text").distinct().withColumn("key", F.lower(strip(F.col("text"))))
     terms = concept_terms(texts.select("key").distinct(), lexicon)
-    terms = texts.join(terms, "key", "left").select("text", F.coalesce("term", "text").alias("term"))
+    # Stored, so that its size is known: where it is small, the entities are not shuffled to meet it.
+    terms = stage(texts.join(terms, "key", "left").select("text", F.coalesce("term", "text").alias("term")), "terms")
     return entities.join(terms, "text", "left").withColumn("cui", F.lit(None).cast("string"))
 
 

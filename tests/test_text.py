@@ -90,3 +90,18 @@ def test_section_flags_have_no_word_boundary(spark):
 def test_smart_truncate(spark, note, expected):
     df = spark.createDataFrame([(note,)], "note string")
     assert T.smart_truncate(df, "note", F.lit(20)).first()["note"] == expected
+
+
+def test_every_white_space_character_cuts_words_and_no_other(spark):
+    space = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    near = "\x08\x0e\x1b!\x84\x86\x9f\xa1\u167f\u1681\u180e\u1fff\u200b\u2027\u202a\u205e\u2060\u2fff\u3001\ufeff"
+    df = spark.createDataFrame([(f"{c}a{c}{c}b{c}",) for c in space + near] + [("",), (None,)], "t string")
+    found = [r.w for r in df.select(T.words(F.col("t")).alias("w")).collect()]
+    assert found == [["a", "b"]] * len(space) + [[f"{c}a{c}{c}b{c}"] for c in near] + [[], []]
+
+
+def test_few_words_without_cutting(spark):
+    texts = ["", "a", "a b", "a b c", "  a  b  ", "abcdefgh", "abc def ghi", "a\u2003b\xa0c", "long words only", "      ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(T.has_few_words(F.col("t"), 2).alias("few"), (T.word_count(F.col("t")) <= 2).alias("counted")).collect()
+    assert [r.few for r in both] == [r.counted for r in both] == [True, True, True, False, True, True, False, False, False, True, True]
