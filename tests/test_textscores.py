@@ -181,3 +181,33 @@ def test_groups_score_like_single_runs(spark):
     both = df.selectExpr("'a' config", "*").unionByName(df.selectExpr("'b' config", "id", "ref AS pred", "ref"))
     got = {r.config: r.bleu for r in TS.bleu(both, ["config"], ["config", "id"]).collect()}
     assert got == {"a": TS.bleu(df).first()["bleu"], "b": 1.0}
+
+
+def test_lcs_positions_by_bits_follow_the_table():
+    def by_table(ref, cand):
+        table = [[0] * (len(cand) + 1) for _ in range(len(ref) + 1)]
+        for i, a in enumerate(ref, 1):
+            for j, b in enumerate(cand, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + (a == b))
+        i, j, path = len(ref), len(cand), []
+        while i and j:
+            if ref[i - 1] == cand[j - 1]:
+                i, j = i - 1, j - 1
+                path.append(i)
+            elif table[i][j - 1] > table[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return path
+
+    rng = random.Random(3)
+    for _ in range(300):
+        ref, cand = ([rng.choice("abcdefgh") for _ in range(rng.randrange(90))] for _ in "12")
+        assert align._lcs_positions(ref, cand, align.places_of(cand)) == by_table(ref, cand)
+
+
+def test_a_word_is_stemmed_once():
+    align.meteor_pair("she was coughing " * 50, "he has coughed " * 50)
+    before = align.stem.cache_info().misses
+    align.meteor_pair("she was coughing " * 50, "he has coughed " * 50)
+    assert align.stem.cache_info().misses == before
