@@ -12,6 +12,9 @@ from notewright.llm import exactdedup, importance, packing, pii, simhash
 from notewright.llm.queries import VOCABULARY
 from notewright.session import stage
 
+# The workers of this stage still hold what the stages before it left, so they remember fewer words than those of ``op7_packing``.
+REMEMBERED = 60_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps; labels that don't fit the documents left are ignored."""
@@ -36,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in windows of 1024 tokens."""
-    return packing.pack(docs, VOCABULARY, window=1024)
+    return packing.pack(docs, VOCABULARY, window=1024, remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packed)]

@@ -54,7 +54,7 @@ class Encoder:
     used as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         config = json.loads(self.tokenizer.to_str())
@@ -73,7 +73,7 @@ class Encoder:
             mapped = word.encode("utf-8", "replace").decode("latin-1").translate(letters)
             return b"".join([t.id.to_bytes(width, "little") for t in model.tokenize(mapped)])
 
-        self.chunks = Memory(lambda chunk: b"".join([of_word(w) for w in _WORDS.findall(chunk)]))
+        self.chunks = Memory(lambda chunk: b"".join([of_word(w) for w in _WORDS.findall(chunk)]), remembered)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_words or any(name in text for name in self.added):
@@ -101,11 +101,11 @@ def no_collection():
             gc.enable()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder per worker, file and size of its memory."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]

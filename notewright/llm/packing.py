@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notewright.llm.encoder import encoder
+from notewright.llm.encoder import REMEMBERED, encoder
 from notewright.session import stage
 
 GRID = 16
@@ -32,11 +32,11 @@ ROUNDS = 400
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, task int, rank long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, window: int, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, window: int, end: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Rows per piece; ``rank`` numbers the pieces of a length within ``task``. Not repeatable: stage it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, task = encoder(vocabulary, remembered), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
             out = []
@@ -139,9 +139,9 @@ def places(patterns: list[tuple[list[int], int]], window: int) -> tuple[np.ndarr
     return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece."""
-    cut = stage(pieces(docs, vocabulary, window, end, id_col, text_col), "pieces")
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece. A worker remembers the ids of about twice ``remembered`` words."""
+    cut = stage(pieces(docs, vocabulary, window, end, id_col, text_col, remembered), "pieces")
     counts = cut.groupBy("task", "length").count()
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = stage(counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "piece-counts")
