@@ -31,7 +31,7 @@ UNKNOWN, NONE = "unknown", "none"
 CONFIRMED = 0.5
 WINDOW = 48  # words
 # Comment marks and white space at the start of a line, and what closes a comment at its end.
-MARKS = r"(?m)^[ \t\r]*(?:(?:/\*+|\*+/|//+!?|\*+|#+|;+|--+|%+|>+|<!--+|\.\.(?= )|dnl\b|(?:rem|REM)\b)[ \t\r]*)*|[ \t\r]*(?:\*+/|--+>)?[ \t\r]*$"
+MARKS = r"(?m)^[ \t\r]*(?:(?:/\*+|\*+/|//+!?|\*+|#+|;+|--+|%+|>+|<!--+|\.\.(?= )|dnl\b|(?:rem|REM)\b)[ \t\r]*)*|(?=[ \t\r*-])[ \t\r]*+(?:\*+/|--+>)?[ \t\r]*+$"
 
 # Notices as their licences word them.
 TEMPLATES = {
@@ -197,6 +197,22 @@ def _grams(df: DataFrame, col: str = "passage") -> DataFrame:
     return tokens.withColumn("__g", F.concat("__w", ngrams(F.col("__w"), 2), ngrams(F.col("__w"), 3))).drop("__w")
 
 
+def _once(col: Column, then) -> Column:
+    """``then`` of ``col``, which is worked out once however often ``then`` reads it."""
+    return F.element_at(F.transform(F.array(col), then), 1)
+
+
+def _known_grams(df: DataFrame, vocabulary: list[str], col: str = "passage") -> DataFrame:
+    """Adds ``__g`` as :func:`_grams` does, without the groups that hold a word of no entry of ``vocabulary``: the vectorizer passes those over, and they are most of a text."""
+    known = sorted({word for entry in vocabulary for word in entry.split(" ")})
+    # Unknown words are null, and so is every group that holds one.
+    found = F.transform(F.array_remove(F.split(F.lower(col), "[^a-z0-9]+"), ""), lambda w: F.when(w.isin(known), w))
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    groups = lambda w, p: F.concat(w, p, F.zip_with(p, F.slice(w, 3, F.size(w)), joined))
+    every = _once(F.concat(F.array(F.lit("^")), found, F.array(F.lit("$"))), lambda w: _once(F.zip_with(w, F.slice(w, 2, F.size(w)), joined), lambda p: groups(w, p)))
+    return df.withColumn("__g", F.array_compact(every))
+
+
 def _inline(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
     """A small table from literals."""
     structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
@@ -219,9 +235,11 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 def _chances(df: DataFrame, model: LogisticRegressionModel, temperature: float) -> DataFrame:
     """Adds ``chances``, the softmax of the scores over the temperature."""
     scored = model.transform(df).withColumn("__s", vector_to_array("rawPrediction"))
-    scaled = scored.withColumn("__s", F.transform("__s", lambda x: F.exp((x - F.array_max("__s")) / temperature)))
+    # Greatest and total would else be worked out again for each class.
+    scaled = scored.withColumn("__s", _once(F.array_max("__s"), lambda most: F.transform("__s", lambda x: F.exp((x - most) / temperature))))
     total = F.aggregate("__s", F.lit(0.0), lambda a, x: a + x)
-    return scaled.withColumn("chances", F.transform("__s", lambda x: x / total)).drop("__s", "rawPrediction", "probability", "prediction", "features")
+    chances = _once(total, lambda n: F.transform("__s", lambda x: x / n))
+    return scaled.withColumn("chances", chances).drop("__s", "rawPrediction", "probability", "prediction", "features")
 
 
 def fit(labelled: DataFrame) -> LicenseModel:
@@ -248,32 +266,37 @@ def fit(labelled: DataFrame) -> LicenseModel:
 
 
 def _judged(df: DataFrame, classes: list[str]) -> DataFrame:
-    """Adds the likeliest class but ``none`` (``found``), its ``chance``, and whether the passage is ``about`` a licence."""
+    """Adds whether the passage is ``about`` a licence, and if so the likeliest class but ``none`` (``found``) and its ``chance``."""
     pairs = F.zip_with("chances", F.array(*map(F.lit, classes)), lambda c, n: F.struct(c.alias("chance"), n.alias("found")))
-    best = F.array_max(F.filter(pairs, lambda p: p["found"] != NONE))
     none = F.element_at("chances", classes.index(NONE) + 1) if NONE in classes else F.lit(0.0)
+    best = F.when(none < 0.5, F.array_max(F.filter(pairs, lambda p: p["found"] != NONE)))
     return df.withColumn("__best", best).select("*", "__best.*", (none < 0.5).alias("about")).drop("__best")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, paragraph, lines): without comment marks and blank lines; ``paragraph`` counts from 0."""
     bare = F.regexp_replace(F.regexp_replace(text_of(text_col), "\r\n?", "\n"), MARKS, "")
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.regexp_replace(bare, r"\A\n+|\n+\z", ""), r"\n{2,}")).alias("paragraph", "lines"))
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.btrim(bare, F.lit("\n")), r"\n{2,}")).alias("paragraph", "lines"))
     return cut.filter("lines <> ''")
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """Adds ``passage``: a paragraph's lines joined, or every ``WINDOW`` words of it from each half of that; and ``start``, the words before it."""
-    tokens = F.split(F.trim(F.regexp_replace("lines", r"\s+", " ")), " ")
+    """Instead of ``lines``: ``passage``, a paragraph's lines joined, or every ``WINDOW`` words of it from each half of that; ``start``, the words before it; and ``counted``, the words of each line."""
+    bare = F.transform(F.split("lines", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")))
+    by_line = F.transform(bare, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"\s+")))
+    kept = [c for c in rows.columns if c != "lines"]
     half = WINDOW // 2
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("__t") - WINDOW) / half)).cast("int"))
-    cut = rows.withColumn("__t", tokens).select("*", F.explode_outer(F.transform(starts, lambda i: F.struct((i * half).alias("start"), F.array_join(F.slice("__t", i * half + 1, WINDOW), " ").alias("passage")))).alias("__c"))
-    return cut.select(*rows.columns, "__c.*")
+    # The text goes no further, as there are many windows to a long paragraph.
+    cut = rows.select(*kept, by_line.alias("__l")).select(*kept, F.transform("__l", lambda x: F.size(x)).alias("counted"), F.flatten("__l").alias("__t"))
+    return cut.select(*kept, "counted", F.explode_outer(F.transform(starts, lambda i: F.struct((i * half).alias("start"), F.array_join(F.slice("__t", i * half + 1, WINDOW), " ").alias("passage")))).alias("__c")).select(
+        *kept, "counted", "__c.*"
+    )
 
 
 def _scored(df: DataFrame, model: LicenseModel) -> DataFrame:
     """The rows that are about a licence, with ``found`` and ``chance``."""
-    features = model.vocabulary.transform(_grams(df)).drop("__g")
+    features = model.vocabulary.transform(_known_grams(df, model.vocabulary.vocabulary)).drop("__g")
     judged = _judged(_chances(features, model.classifier, model.temperature), model.classes)
     # By way of an outer explode: a plain filter would be moved below the steps that make it, and they would run twice, word groups nested.
     hit = F.explode_outer(F.when(F.col("about"), F.array(F.struct("found", "chance")))).alias("__hit")
@@ -293,7 +316,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     sentences = F.col("__s")
     offsets = F.transform(sentences, lambda x, i: F.struct(x.alias("passage"), F.aggregate(F.slice(sentences, 1, i), F.col("start"), lambda n, y: n + F.size(F.split(y, " "))).alias("start")))
     units = F.concat(F.array(F.struct("passage", "start")), F.when(F.size(sentences) > 1, offsets).otherwise(F.array().cast("array<struct<passage:string,start:int>>")))
-    parts = about.withColumn("__u", F.explode_outer(units)).select("doc_id", "__row", "paragraph", "lines", "__u.*")
+    parts = about.withColumn("__u", F.explode_outer(units)).select("doc_id", "__row", "paragraph", "counted", "__u.*")
     believed = F.when(F.col("chance") >= model.least, F.col("found")).otherwise(UNKNOWN)
     rows = _scored(parts, model).withColumn("believed", believed).withColumn("chance", F.round("chance", 6))
     # Word pairs; of a template of one word, the word.
@@ -308,12 +331,11 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     close = F.coalesce(F.round(F.array_max(share), 6), F.lit(0.0))
     judged = mine.withColumn("similarity", close).withColumn("family", F.when(close >= CONFIRMED, F.col("believed")).otherwise(UNKNOWN))
     # The best passage of each family of a paragraph; the shorter one where they are alike.
-    best = F.struct("similarity", "chance", (-F.length("passage")).alias("short"), (-F.col("start")).alias("first"), "passage", "believed", "doc_id", "paragraph", "lines")
+    best = F.struct("similarity", "chance", (-F.length("passage")).alias("short"), (-F.col("start")).alias("first"), "passage", "believed", "doc_id", "paragraph", "counted")
     found = judged.groupBy("__row", "family").agg(F.max(best).alias("b"))
     kept = found.groupBy("__row").agg(F.collect_list(F.struct("family", "b")).alias("all"))
     known = F.filter("all", lambda x: x["family"] != UNKNOWN)
     out = kept.select(F.explode(F.when(F.size(known) > 0, known).otherwise(F.col("all"))).alias("x")).select("x.family", "x.b.*")
     # The line that holds the passage's first word.
-    counted = F.transform(F.split("lines", "\n"), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
-    place = F.aggregate(counted, F.struct(F.lit(0).alias("line"), F.lit(0).alias("n")), lambda s, c: F.struct((s["line"] + (s["n"] + c <= -F.col("first")).cast("int")).alias("line"), (s["n"] + c).alias("n")), lambda s: s["line"])
+    place = F.aggregate("counted", F.struct(F.lit(0).alias("line"), F.lit(0).alias("n")), lambda s, c: F.struct((s["line"] + (s["n"] + c <= -F.col("first")).cast("int")).alias("line"), (s["n"] + c).alias("n")), lambda s: s["line"])
     return out.select(F.col("doc_id").alias(id_col), "paragraph", place.alias("place"), "passage", "family", "believed", "chance", "similarity")

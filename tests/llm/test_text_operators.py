@@ -428,6 +428,18 @@ def test_licences_by_name_and_wrapped(spark):
     assert [(r["paragraph"], r["place"], r["family"]) for r in table(placed)] == [(1, 1, "all-rights-reserved")]
 
 
+def test_licence_groups_of_known_words(spark):
+    vocabulary = ["^", "$", "mit", "license", "mit license", "the mit license", "license $", "^ the", "under the"]
+    texts = ["", "--", "The MIT-License", "Er kam mit der Bahn", "under\u00fc the (mit) LICENSE!", "license", "prose without any of them " * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, passage string")
+    every = {r["i"]: set(r["__g"]) & set(vocabulary) for r in licenses._grams(df).collect()}
+    known = {r["i"]: r["__g"] for r in licenses._known_grams(df, vocabulary).collect()}
+    assert {i: set(g) & set(vocabulary) for i, g in known.items()} == every
+    assert known[6] == ["^", "$"] and None not in known[3]
+    placed = licenses.windows(spark.createDataFrame([(1, "a b\n\x0b\nc " + "d " * 60)], "doc_id int, lines string")).orderBy("start").collect()
+    assert [(r["start"], r["counted"], len(r["passage"].split())) for r in placed] == [(0, [2, 0, 61], 48), (24, [2, 0, 61], 39)]
+
+
 def test_near_vectors(spark):
     rnd = np.random.default_rng(13)
     base = rnd.standard_normal((120, 24))
