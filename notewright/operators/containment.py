@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright.session import stage
 
 # Characters of a gram. Shorter needles are their own anchors.
@@ -43,7 +44,7 @@ def anchors(words: DataFrame, texts: DataFrame, sizes: Sequence[int]) -> DataFra
     own = [F.when(F.length("word") == n, F.array(F.col("word"))) for n in sizes if n < GRAM]
     listed = words.select("word", F.explode(F.coalesce(*own, grams(F.col("word"), [GRAM]))).alias("gram"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
-    return listed.join(counts, "gram", "left").groupBy("word").agg(rarest).filter("rarest.n > 0").select("word", F.col("rarest.gram").alias("anchor"))
+    return listed.join(counts.hint("merge"), "gram", "left").groupBy("word").agg(rarest).filter("rarest.n > 0").select("word", F.col("rarest.gram").alias("anchor"))
 
 
 def occurrences(
@@ -52,7 +53,8 @@ def occurrences(
     """Distinct ``keep`` columns of ``texts`` and ``word`` of ``needles``, where the word stands in the text and ``on`` agrees.
 
     ``texts`` has the text in ``low``, ``needles`` theirs in ``word``; both are read several times. Empty and null texts and words
-    take no part. With ``longer`` a text that equals the word does not count.
+    take no part. With ``longer`` a text that equals the word does not count. The needles with their anchors are written once, so that their true
+    size says whether they are sent to the texts; the texts, of which a copy goes with each gram, never are sent.
     """
     texts, needles = texts.filter("low <> ''"), needles.filter("word <> ''")
     words = needles.select("word").distinct()
@@ -60,11 +62,11 @@ def occurrences(
     sizes, longest = sizes or [GRAM], longest or 1
     cuts = _stretches(texts, longest)
     counted = cuts.select(F.col("cut").alias("low"), F.lit(1).alias("n"))
-    keyed = needles.join(anchors(words, counted, sizes), "word")
+    keyed = stage(needles.join(anchors(words, counted, sizes).hint("merge"), "word").select(*on, "anchor", "word"), "keyed")
     columns = list(dict.fromkeys([*on, *keep]))
     found = (
         cuts.select(*columns, "cut", F.length("low").alias("size"), F.explode(grams(F.col("cut"), sizes)).alias("anchor"))
-        .join(keyed.select(*on, "anchor", "word"), [*on, "anchor"])
+        .join(parallel.sent_if_small(keyed), [*on, "anchor"])
         .filter(F.contains("cut", F.col("word")))
     )
     if longer:

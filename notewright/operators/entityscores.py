@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright import schema as S
 from notewright.functions.text import normalize_text, text_or_empty, word_count
 from notewright.operators.containment import held_words, occurrences
@@ -105,8 +106,8 @@ def keyword_coverage(entities: DataFrame, notes: DataFrame, keywords: DataFrame
     ``keywords`` has a column ``word``; a word that stands in it twice counts twice, an
     empty one or an empty entity not at all. An entity captures a keyword that contains
     it or that it contains. Notes are searched by anchors (:func:`occurrences`); different keywords and entity texts are searched
-    once each (:func:`held_words`). Rows of a note meet by groupings: what is written between jobs is far larger in memory than in its
-    file, so that a join might send it whole to the driver.
+    once each (:func:`held_words`). Rows of a note meet by groupings, and joins go by the size in memory (:func:`parallel.sent_if_small`): what is written
+    between jobs is far larger there than in its file, so that a join might send it whole to the driver.
     """
     if keywords is None:
         fixed = F.array(*[F.lit(k) for k in all_keywords()])
@@ -116,9 +117,9 @@ def keyword_coverage(entities: DataFrame, notes: DataFrame, keywords: DataFrame
     wanted = stage(occurrences(lowered, counted.select("word"), keep=["id"]), "wanted")
     texts = stage(entities.select("id", F.lower("text").alias("low")).filter("id is not null and low <> ''").distinct(), "entity-texts")
     as_texts, as_words = wanted.withColumnRenamed("word", "low"), texts.withColumnRenamed("low", "word")
-    around = texts.join(held_words(texts, wanted), "low").select("id", "word")
+    around = texts.join(parallel.sent_if_small(held_words(texts, wanted)), "low").select("id", "word")
     # An entity text asked for by a keyword that holds it, and whether the document has it.
-    asks = as_texts.join(held_words(as_texts, as_words), "low").select("id", F.col("word").alias("text"), F.col("low").alias("word"))
+    asks = as_texts.join(parallel.sent_if_small(held_words(as_texts, as_words)), "low").select("id", F.col("word").alias("text"), F.col("low").alias("word"))
     has = texts.select("id", F.col("low").alias("text"), F.lit(None).cast("string").alias("word"))
     inside = (
         asks.unionByName(has).groupBy("id", "text")

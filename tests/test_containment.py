@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from notewright import parallel
 from notewright.operators import containment as C
 from notewright.operators import entities as E
+from notewright.session import stage
 
 rng = random.Random(12)
 TEXTS = [(i % 7, i, "".join(rng.choices("abc é😀", k=rng.choice([0, 1, 3, 9, 40, 300])))) for i in range(120)] + [(1, 200, None), (2, 201, "aaaa" * 900)]
@@ -74,3 +77,26 @@ def test_dedup_keeps_spans_without_a_label_and_in_other_documents(spark):
     spans = [(1, 0, "left knee", "a", 0.5), (1, 1, "knee", "a", 0.5), (1, 2, "left", None, 0.5), (1, 3, "nee", "b", 0.5), (2, 0, "knee", "a", 0.5), (None, 0, "knee", "a", 0.5), (None, 1, "left knee", "a", 0.5), (3, 0, None, "a", 0.5)]
     got = rows(E.dedup_entities(spark.createDataFrame(spans, "id long, pos long, text string, label string, score double")), "id", "pos")
     assert got == sorted([(1, 0), (1, 2), (1, 3), (2, 0), (None, 0), (None, 1), (3, 0)], key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+@pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
+def test_texts_and_their_grams_are_never_sent_to_the_driver(spark, monkeypatch, sent_bytes):
+    """Repeated texts make a small file and many rows in memory: the smaller file must not decide what is sent."""
+    monkeypatch.setattr(parallel, "SENT_BYTES", sent_bytes)
+    words = [f"{i * 7919 % 100_003:05d}{i}" for i in range(400)]
+    texts = stage(spark.createDataFrame([(i, f"a note with {words[i % 3]} in it " * 20) for i in range(2000)], "id long, low string"))
+    needles = stage(spark.createDataFrame([(w,) for w in words], "word string"))
+    found = C.occurrences(texts, needles, keep=["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("SortMergeJoin" in plan) == (sent_bytes == 0)
+    assert rows(found) == sorted(((i, words[i % 3]) for i in range(2000)), key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+def test_a_table_is_sent_by_its_size_in_memory(spark, monkeypatch):
+    held = stage(spark.createDataFrame([("a text that many rows repeat", i) for i in range(5000)], "low string, n long"))
+    monkeypatch.setattr(parallel, "SENT_BYTES", 100_000)
+    joined = stage(spark.range(9).selectExpr("'a text that many rows repeat' AS low", "id")).join(parallel.sent_if_small(held.filter("n < 5000")), "low")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and joined.count() == 45_000
+    few = held.filter("n < 10")
+    assert "Broadcast" in few.join(parallel.sent_if_small(few), "low")._jdf.queryExecution().executedPlan().toString()
