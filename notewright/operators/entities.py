@@ -257,8 +257,14 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
 
 
 def _spoken(df: DataFrame, col: str) -> DataFrame:
-    """``id, w``: the words of each text with their starts, in order. Cut by id, which moves each text once; all that is done per id after that needs no further shuffle."""
-    return parallel.by_key(df.select("id", col), "id").select("id", word_places(F.col(col)).alias("w"))
+    """``id, w``: the words of each text with their starts, in order. Cut by id, which moves each text once; all that is done per id after that needs no further shuffle.
+
+    Words are found before that, as the plan of a Python function forgets how its rows are cut, and travel as one string with a list of starts, which is about as large as the text.
+    """
+    found = df.select("id", word_places(F.col(col)).alias("w"))
+    moved = parallel.by_key(found.select("id", F.concat_ws(" ", "w.word").alias("words"), F.col("w.start").alias("starts")), "id")
+    words = F.transform(F.split("words", " "), lambda word, i: F.struct(word.alias("word"), F.get("starts", i).alias("start")))
+    return moved.select("id", F.slice(words, F.lit(1), F.size("starts")).alias("w"))
 
 
 def _end(word: Column) -> Column:
@@ -269,7 +275,8 @@ def word_pieces(df: DataFrame, col: str = "text") -> DataFrame:
     """Words with their place: ``id, wpos, word, start, end``; ``word`` is lower-cased, places are code points."""
     return (
         _spoken(df, col)
-        .select("id", F.posexplode("w").alias("wpos", "w"))
+        .select("id", F.posexplode_outer("w").alias("wpos", "w"))  # a plain one would have words found twice, to pass over texts without any
+        .filter("w is not null")
         .select("id", F.col("wpos").cast("long").alias("wpos"), "w.word", F.col("w.start").cast("long").alias("start"), _end(F.col("w")).cast("long").alias("end"))
     )
 
