@@ -415,41 +415,30 @@ def mark_negated(entities: DataFrame, scopes: DataFrame, width: int = 4096) -> D
 
     Spans and scopes are cut into stretches of ``width`` characters, which bounds every
     group, and a running maximum over a stretch finds overlaps without forming pairs.
-    Touching intervals do not overlap.
+    Touching intervals do not overlap. Entities go through whole, beside the scopes, and are joined to nothing: where both tables are
+    cut by ``id``, as those made from texts are, nothing is shuffled again. Both are read once. Rows that share ``id`` and ``pos`` are marked together.
     """
-
-    def stretches(df: DataFrame) -> DataFrame:
-        first = F.floor(F.col("start") / width)
-        last = F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / width)
-        return df.withColumn("stretch", F.explode(F.sequence(first, last)))
-
-    marks = stretches(scopes.select("id", "start", "end").distinct()).select(
-        "id", "stretch", F.col("start").alias("at"), F.lit(1).alias("kind"),
-        F.col("end").alias("reach"), F.lit(None).cast("long").alias("pos"),
-        F.lit(None).cast("long").alias("start"),
+    first = F.floor(F.col("start") / width)
+    stretches = F.sequence(first, F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / width))
+    none = F.lit(None)
+    marks = scopes.select("id", "start", "end", F.explode(stretches).alias("stretch")).select(
+        "id", "stretch", F.col("start").alias("at"), F.lit(1).alias("kind"), F.col("end").alias("reach"),
+        none.cast("int").alias("nth"), none.cast(entities.schema).alias("own"),
     )
-    asks = stretches(entities.select("id", "pos", "start", "end")).select(
-        "id", "stretch", F.col("end").alias("at"), F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("reach"), "pos", "start",
+    # One row for each stretch of a span; the first, or the only one of a span without a place, is kept.
+    asks = entities.select(F.struct(*entities.columns).alias("own"), "id", "end", F.posexplode_outer(stretches).alias("nth", "stretch")).select(
+        "id", "stretch", F.col("end").alias("at"), F.lit(0).alias("kind"), none.cast("long").alias("reach"), "nth", "own",
     )
     line = (
         Window.partitionBy("id", "stretch")
         .orderBy("at", "kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    hits = (
-        marks.unionByName(asks)
-        .withColumn("reach", F.max("reach").over(line))
-        .filter((F.col("kind") == 0) & (F.col("reach") > F.col("start")))
-        .select("id", "pos")
-        .distinct()
-        .withColumn("is_hit", F.lit(True))
-    )
-    return (
-        entities.join(hits, ["id", "pos"], "left")
-        .withColumn("negated", F.coalesce("negated", F.lit(False)) | F.coalesce("is_hit", F.lit(False)))
-        .select(*entities.columns)
-    )
+    hit = (F.col("kind") == 0) & (F.col("reach") > F.col("own.start")) & F.col("id").isNotNull() & F.col("own.pos").isNotNull()
+    seen = marks.unionByName(asks).withColumn("reach", F.max("reach").over(line)).filter("kind = 0").select("id", "own.pos", "nth", "own", hit.alias("is_hit"))
+    marked = seen.withColumn("is_hit", F.max("is_hit").over(Window.partitionBy("id", "pos"))).filter(F.coalesce("nth", F.lit(0)) == 0)
+    negated = F.coalesce("own.negated", F.lit(False)) | F.coalesce("is_hit", F.lit(False))
+    return marked.select(*[negated.alias(c) if c == "negated" else F.col(f"own.{c}").alias(c) for c in entities.columns])
 
 
 # -------------------------------------------------------------- normalisation
